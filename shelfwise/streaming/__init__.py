@@ -1,0 +1,5 @@
+"""No streaming operator exists in the workload this library covers.
+
+All inputs are batch files.  The batch operators keep no driver state, so they
+can be called from ``foreachBatch`` unchanged.
+"""
