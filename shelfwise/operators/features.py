@@ -8,6 +8,7 @@ user or item that is unknown before the cut ends with zeros.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,15 +197,21 @@ def popularity_fraction(buyers: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ blocks
 @dataclass
 class Bundle:
-    """Shared history tables and profiles for a list of cuts."""
+    """Shared history tables for a list of cuts; user and item profiles are built on first use."""
 
     hist: DataFrame
     orders: DataFrame
     pairs: DataFrame
     cats: Categories
     products: DataFrame
-    users: DataFrame
-    items: DataFrame
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return user_profile(self.hist, self.pairs, self.cats, self.products)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return item_profile(self.hist, self.orders, self.pairs)
 
 
 def build_bundle(tx: DataFrame, products: DataFrame, cuts, top_n: int = 9) -> Bundle:
@@ -212,8 +219,7 @@ def build_bundle(tx: DataFrame, products: DataFrame, cuts, top_n: int = 9) -> Bu
     orders = pair_orders(hist).persist()
     pairs = pair_history(orders).persist()
     cats = collapse_categories(hist, products, top_n, by=["cut"])
-    return Bundle(hist, orders, pairs, cats, products,
-                  user_profile(hist, pairs, cats, products), item_profile(hist, orders, pairs))
+    return Bundle(hist, orders, pairs, cats, products)
 
 
 def add_user(rows: DataFrame, b: Bundle) -> DataFrame:

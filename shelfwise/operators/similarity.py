@@ -17,6 +17,12 @@ from shelfwise.functions import scalar as S
 BLOCK = 2000
 
 
+def stable_sum(c):
+    """Sum rounded to 10 places: partial sums arrive in any order, and a rank must not depend on
+    the last bits they leave."""
+    return F.round(F.sum(c), 10)
+
+
 def purchase_matrix(df: DataFrame, weighted: bool = False) -> DataFrame:
     """Long user x item matrix: summed quantity or 1; NULL users and qty <= 0 are dropped."""
     w = F.sum("qty").cast("double") if weighted else F.lit(1.0)
@@ -112,7 +118,7 @@ def recommend_usercf(rows: DataFrame, k: int, n_neighbours: int = 20, block: int
     votes = (
         near.select(F.col("i").alias("user_id"), F.col("j").alias("other"), "sim")
         .join(rows.select(F.col("user_id").alias("other"), "item_id"), "other")
-        .groupBy("user_id", "item_id").agg(F.sum("sim").alias("score"))
+        .groupBy("user_id", "item_id").agg(stable_sum("sim").alias("score"))
     )
     fresh = votes.join(rows.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     return R.top_k(fresh, ["user_id"], [F.col("score").desc(), F.col("item_id")], k)
@@ -126,7 +132,7 @@ def recommend_item_votes(seeds: DataFrame, owned: DataFrame, near: DataFrame, k:
     """
     votes = (
         seeds.select("user_id", F.col("item_id").alias("i")).distinct().join(near, "i")
-        .groupBy("user_id", F.col("j").alias("item_id")).agg(F.sum("sim").alias("score"))
+        .groupBy("user_id", F.col("j").alias("item_id")).agg(stable_sum("sim").alias("score"))
     )
     fresh = votes.join(owned.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
     return R.top_k(fresh, ["user_id"], [F.col("score").desc(), F.col("item_id")], k)

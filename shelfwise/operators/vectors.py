@@ -85,7 +85,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: i
         out = []
         for start in range(0, len(a), 512):
             part = a.iloc[start:start + 512]
-            sims = np.stack(part["vec"].to_numpy()).astype(float) @ m.T
+            sims = np.round(np.stack(part["vec"].to_numpy()).astype(float) @ m.T, 10)
             keep = (k + part["more"]).to_numpy()
             take = min(len(ids), int(keep.max()) + (1 if skip_same else 0))
             best = np.argsort(-sims, axis=1, kind="stable")[:, :take]
@@ -128,7 +128,7 @@ def similar_to(vectors: DataFrame, item_id: str, k: int) -> DataFrame:
     u = unit_vectors(vectors)
     q = u.filter(F.col("item_id") == item_id).select("vec").scalar()
     return (
-        u.filter(F.col("item_id") != item_id).withColumn("q", q).select("item_id", dot("vec", "q").alias("sim"))
+        u.filter(F.col("item_id") != item_id).withColumn("q", q).select("item_id", F.round(dot("vec", "q"), 10).alias("sim"))
         .orderBy(F.col("sim").desc(), "item_id").limit(k)
     )
 

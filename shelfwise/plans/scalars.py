@@ -121,11 +121,11 @@ def c14(spark, d):
 
 
 @add("c15_rounding", """
-SELECT order_id, line_no, item_id, round(unit_price / 7, 4) AS r4, round(unit_price / 7000, 5) AS r5,
+SELECT order_id, line_no, item_id, round(ln(unit_price), 4) AS r4, round(ln(unit_price) / 3, 5) AS r5,
        round_even(qty / 4, 0) AS half_even FROM tx
 """)
 def c15(spark, d):
-    return tx(spark, d).select(*KEY, F.round(F.col("unit_price") / 7, 4).alias("r4"), F.round(F.col("unit_price") / 7000, 5).alias("r5"),
+    return tx(spark, d).select(*KEY, F.round(F.log("unit_price"), 4).alias("r4"), F.round(F.log("unit_price") / 3, 5).alias("r5"),
                                F.bround(F.col("qty") / 4, 0).alias("half_even"))
 
 

@@ -23,4 +23,4 @@ def predictions(spark, d) -> DataFrame:
         (F.col("buyers") / (F.col("buyers") + 50.0)).alias("s_pop"),
         (F.lit(1.0) / (1 + S.whole_days("last_ts", F.col("cut")))).alias("s_rec"),
         (F.col("n_ord") + F.col("buyers") / 1000.0).alias("s_own"),
-    )
+    ).persist()

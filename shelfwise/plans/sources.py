@@ -109,8 +109,8 @@ def a08(spark, d):
 
 @add("a09_vector_index", """
 SELECT CAST(vec_id AS VARCHAR) AS item_id, len(embedding) AS dim,
-       round(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x)) /
-             list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x)), 6) AS unit_norm
+       round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))
+             / list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS unit_norm
 FROM embeddings
 """)
 def a09(spark, d):
