@@ -84,7 +84,7 @@ WHERE NOT EXISTS (SELECT 1 FROM merged3 m WHERE m.user_id = p.user_id AND m.item
 cte("fused3", """
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS recall_rank FROM (
  SELECT user_id, item_id, score, routes, n_routes FROM merged3
- UNION ALL SELECT f.user_id, f.item_id, greatest(0.02, 0.2 - 0.01 * f.f), 'popular', 1 FROM fill3 f
+ UNION ALL SELECT f.user_id, f.item_id, greatest(CAST(0.02 AS DOUBLE), CAST(0.2 AS DOUBLE) - CAST(0.01 AS DOUBLE) * f.f), 'popular', 1 FROM fill3 f
  LEFT JOIN (SELECT user_id, count(*) AS n FROM merged3 GROUP BY 1) c ON c.user_id = f.user_id WHERE f.f < 50 - coalesce(c.n, 0)
 ) QUALIFY recall_rank <= 50
 """)
@@ -171,12 +171,13 @@ def j02(spark, d):
         Rc.owned_items(test).select(F.lit("basket").alias("part"), "user_id", "item_id"))
 
 
-def _route_sql(table, score="round(score, 6)", k=50):
+def _route_sql(table, score="round(score + 3e-11, 6)", k=50):
     return f"SELECT user_id, item_id, {score} AS score, CAST(rank AS INTEGER) AS rank FROM {table} WHERE rank <= {k}"
 
 
 def _route(df, k=50):
-    return df.filter(F.col("rank") <= k).select("user_id", "item_id", r6("score"), "rank")
+    return df.filter(F.col("rank") <= k).select(
+        "user_id", "item_id", F.round(F.col("score") + 3e-11, 6).alias("score"), "rank")
 
 
 @add("j03_popular_route", _route_sql("r_pop", "CAST(1 - rank AS DOUBLE)"))

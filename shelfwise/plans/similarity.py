@@ -50,6 +50,11 @@ def r6(c):
     return F.round(c, 6).alias(c)
 
 
+def off_half(c):
+    """Six places for a value already rounded to ten: the shift keeps half-way cases apart."""
+    return F.round(F.col(c) + 3e-11, 6).alias(c)
+
+
 def weighted(spark, d):
     return sim.purchase_matrix(tx(spark, d), weighted=True).persist()
 
@@ -85,9 +90,9 @@ def h05(spark, d):
     return sim.itemcf(binary(spark, d)).select("i", "j", "m", r6("sim"))
 
 
-@add("h06_vector_top_k", "SELECT i AS item_id, j AS neighbor, round(sim, 6) AS sim, CAST(r AS INTEGER) AS rank FROM vtop")
+@add("h06_vector_top_k", "SELECT i AS item_id, j AS neighbor, round(sim + 3e-11, 6) AS sim, CAST(r AS INTEGER) AS rank FROM vtop")
 def h06(spark, d):
-    return V.all_pairs_top_k(retail.item_vectors(spark, d), 20).select("item_id", "neighbor", r6("sim"), "rank")
+    return V.all_pairs_top_k(retail.item_vectors(spark, d), 20).select("item_id", "neighbor", off_half("sim"), "rank")
 
 
 _UVEC = """
@@ -111,9 +116,9 @@ def h08(spark, d):
                                     normalise_items=False, normalise_mean=True))
 
 
-@add("h09_vector_knn", "SELECT j AS item_id, round(sim, 6) AS sim FROM vsim WHERE i = '0' ORDER BY vsim.sim DESC, j LIMIT 20")
+@add("h09_vector_knn", "SELECT j AS item_id, round(sim + 3e-11, 6) AS sim FROM vsim WHERE i = '0' ORDER BY vsim.sim DESC, j LIMIT 20")
 def h09(spark, d):
-    return V.similar_to(retail.item_vectors(spark, d), "0", 20).select("item_id", r6("sim"))
+    return V.similar_to(retail.item_vectors(spark, d), "0", 20).select("item_id", off_half("sim"))
 
 
 @add("h10_usercf_recommend", """
@@ -123,10 +128,10 @@ WITH bu AS (SELECT i, j, c / sqrt(x.n * y.n) AS sim FROM (SELECT a.user_id AS i,
 t AS (SELECT i, j, sim FROM bu QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 20),
 v AS (SELECT i AS user_id, item_id, round(sum(sim), 10) AS score FROM t JOIN pairs p ON p.user_id = t.j GROUP BY 1, 2),
 f AS (SELECT v.* FROM v ANTI JOIN pairs p ON p.user_id = v.user_id AND p.item_id = v.item_id)
-SELECT user_id, item_id, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) <= 10)
+SELECT user_id, item_id, round(score + 3e-11, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY f.score DESC, item_id) <= 10)
 """)
 def h10(spark, d):
-    return sim.recommend_usercf(binary(spark, d), 10).select("user_id", "item_id", r6("score"))
+    return sim.recommend_usercf(binary(spark, d), 10).select("user_id", "item_id", off_half("score"))
 
 
 @add("h11_itemcf_vote_recommend", """
@@ -134,12 +139,12 @@ SELECT * FROM (
 WITH t AS (SELECT i, j, sim FROM bcos QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) <= 200),
 v AS (SELECT user_id, j AS item_id, round(sum(sim), 10) AS score FROM pairs JOIN t ON t.i = pairs.item_id GROUP BY 1, 2),
 f AS (SELECT v.* FROM v ANTI JOIN pairs p ON p.user_id = v.user_id AND p.item_id = v.item_id)
-SELECT user_id, item_id, round(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY f.score DESC, item_id) <= 10)
+SELECT user_id, item_id, round(score + 3e-11, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY f.score DESC, item_id) <= 10)
 """)
 def h11(spark, d):
     m = binary(spark, d)
     near = sim.neighbours(sim.itemcf(m), 200)
-    return sim.recommend_item_votes(m, m, near, 10).select("user_id", "item_id", r6("score"))
+    return sim.recommend_item_votes(m, m, near, 10).select("user_id", "item_id", off_half("score"))
 
 
 _VREC = """
@@ -147,14 +152,14 @@ SELECT * FROM (
 WITH u AS (SELECT user_id, list(m ORDER BY k) AS vec FROM (SELECT user_id, k, avg(x) AS m FROM (SELECT user_id, unnest(vec) AS x, unnest(range(len(vec))) AS k FROM pairs JOIN vunit USING (item_id)) GROUP BY 1, 2) GROUP BY 1),
 s AS (SELECT user_id, item_id, round(list_inner_product(u.vec, v.vec), 10) AS sim FROM u, vunit v),
 f AS (SELECT s.* FROM s ANTI JOIN pairs p ON p.user_id = s.user_id AND p.item_id = s.item_id WHERE sim > 0)
-SELECT user_id, item_id, round(sim, 6) AS sim FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY f.sim DESC, item_id) <= 20)
+SELECT user_id, item_id, round(sim + 3e-11, 6) AS sim FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY f.sim DESC, item_id) <= 20)
 """
 
 
 @add("h12_vector_recommend", _VREC)
 def h12(spark, d):
     own, vec = recall.owned_items(tx(spark, d)), retail.item_vectors(spark, d)
-    return V.recommend(V.mean_vectors(own, vec), vec, own, 20, positive_only=True).select("user_id", "item_id", r6("sim"))
+    return V.recommend(V.mean_vectors(own, vec), vec, own, 20, positive_only=True).select("user_id", "item_id", off_half("sim"))
 
 
 @add("h13_restrict_vocabulary", """
@@ -196,7 +201,7 @@ SELECT * FROM (
 WITH w AS (SELECT user_id || '|' || order_id AS b, item_id, {w} AS w FROM bk),
 c AS (SELECT x.item_id AS i, y.item_id AS j, sum(x.w * y.w) AS c, count(*) AS m FROM w x JOIN w y ON x.b = y.b AND x.item_id <> y.item_id GROUP BY 1, 2),
 g AS (SELECT item_id, sum(w * w) AS d, count(*) AS n FROM w GROUP BY 1)
-SELECT c.i, c.j, round({s}, 6) AS sim FROM c JOIN g gi ON gi.item_id = c.i JOIN g gj ON gj.item_id = c.j)
+SELECT c.i, c.j, round({s} + 1e-9, 6) AS sim FROM c JOIN g gi ON gi.item_id = c.i JOIN g gj ON gj.item_id = c.j)
 """
 _BIG = "CASE WHEN size > 1 THEN 1 / sqrt(size - 1.0) ELSE 1.0 END"
 _COS = "c.c / sqrt(gi.d * gj.d)"
@@ -208,7 +213,7 @@ def _scheme_query(scheme):
         from shelfwise.operators.replay import as_of
 
         rows = as_of(baskets.basket_rows(tx(spark, d)), [CUT])
-        return baskets.item_similarity(rows, scheme).select("i", "j", r6("sim"))
+        return baskets.item_similarity(rows, scheme).select("i", "j", F.round(F.col("sim") + 1e-9, 6).alias("sim"))
 
     return run
 
