@@ -195,18 +195,18 @@ def global_position(df: DataFrame, order, out: str) -> DataFrame:
     """
     ordered = settle(
         df.orderBy(*order)
-        .withColumn("__mono", F.monotonically_increasing_id())
-        .withColumn("__part", F.shiftrightunsigned("__mono", 33))
-        .withColumn("__pos", F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn("__gp_mono", F.monotonically_increasing_id())
+        .withColumn("__gp_part", F.shiftrightunsigned("__gp_mono", 33))
+        .withColumn("__gp_pos", F.col("__gp_mono").bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__gp_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ordered.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__off", F.coalesce(F.sum("__c").over(before), F.lit(0)))
-        .drop("__c")
+        ordered.groupBy(F.col("__gp_part").alias("__gp_p")).agg(F.count(F.lit(1)).alias("__gp_c"))
+        .withColumn("__gp_off", F.coalesce(F.sum("__gp_c").over(before), F.lit(0)))
+        .drop("__gp_c")
     )  # one row per sort partition
     return (
-        ordered.join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
-        .withColumn(out, F.col("__off") + F.col("__pos"))
-        .drop("__mono", "__part", "__pos", "__p", "__off")
+        ordered.join(F.broadcast(offsets), F.col("__gp_part") == F.col("__gp_p"))
+        .withColumn(out, F.col("__gp_off") + F.col("__gp_pos"))
+        .drop("__gp_mono", "__gp_part", "__gp_pos", "__gp_p", "__gp_off")
     )

@@ -154,7 +154,7 @@ def sweep_sql(resid: str, anchor: str = "s_pop") -> str:
     """Composite per (alpha, month) of anchor + alpha * group percentile of the residual."""
     alphas = ", ".join(f"({a}::DOUBLE)" for a in ALPHAS)
     src = f"""(SELECT a.alpha, q.*, q.{anchor} + a.alpha * q.rp AS fin FROM (VALUES {alphas}) a(alpha), (
- SELECT *, CASE WHEN gn > 1 THEN (ar - 1.0) / (gn - 1.0) ELSE 0.0 END AS rp FROM (SELECT *, rank() OVER (PARTITION BY ym, user_id ORDER BY {resid}) + (count(*) OVER (PARTITION BY ym, user_id, {resid}) - 1) / 2.0 AS ar,
+ SELECT *, CASE WHEN gn > 1 THEN (r0 - 1.0) / (gn - 1.0) ELSE 0.0 END AS rp FROM (SELECT *, rank() OVER (PARTITION BY ym, user_id ORDER BY {resid}) + (count(*) OVER (PARTITION BY ym, user_id, {resid}) - 1) / 2.0 AS r0,
   count(*) OVER (PARTITION BY ym, user_id) AS gn FROM preds)) q)"""
     return groups_sql("fin", src, "alpha, ym, user_id")
 
