@@ -165,8 +165,8 @@ def user_country(hist: DataFrame) -> DataFrame:
     return n.groupBy("cut", "user_id").agg(F.min_by("country", F.struct(-F.col("n"), "country")).alias("country"))
 
 
-def item_profile(hist: DataFrame, orders: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Item statistics, recent windows, repeat share, popularity position and peak weekday."""
+def item_counts(orders: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Item counts, ages, recent windows and repeat share."""
     key = ["cut", "item_id"]
     base = pairs.groupBy(*key).agg(
         F.count(F.lit(1)).alias("buyers"), F.sum("qty").alias("qty"),
@@ -177,13 +177,19 @@ def item_profile(hist: DataFrame, orders: DataFrame, pairs: DataFrame) -> DataFr
         (F.sum(F.col("n_ord") - 1) / F.sum("n_ord")).alias("rep_frac"))
     per_order = orders.groupBy(*key, "order_id").agg(F.min("min_age").alias("a")).groupBy(*key).agg(
         F.count(F.lit(1)).alias("orders"), F.sum((F.col("a") <= 30).cast("bigint")).alias("r30_ord"))
+    return base.join(per_order, key)
+
+
+def item_profile(hist: DataFrame, counts: DataFrame) -> DataFrame:
+    """Item counts plus median price, popularity position and peak weekday."""
+    key = ["cut", "item_id"]
     price = R.grouped_median(hist, key, "unit_price", "price_med")
     peak = (
         hist.groupBy(*key, S.monday0("ts").alias("wd")).agg(F.sum("qty").alias("q"))
         .groupBy(*key).agg(F.max_by("wd", F.struct("q", -F.col("wd"))).alias("peak_wd"))
     )
-    return base.join(per_order, key).join(price, key, "left").join(peak, key).join(
-        popularity_fraction(base.select(*key, "buyers")), key)
+    return counts.join(price, key, "left").join(peak, key).join(
+        popularity_fraction(counts.select(*key, "buyers")), key)
 
 
 def popularity_fraction(buyers: DataFrame) -> DataFrame:
@@ -209,9 +215,13 @@ class Bundle:
     def users(self) -> DataFrame:
         return user_profile(self.hist, self.pairs, self.cats, self.products)
 
+    @cached_property
+    def item_counts(self) -> DataFrame:
+        return item_counts(self.orders, self.pairs)
+
     @cached_property
     def items(self) -> DataFrame:
-        return item_profile(self.hist, self.orders, self.pairs)
+        return item_profile(self.hist, self.item_counts)
 
 
 def build_bundle(tx: DataFrame, products: DataFrame, cuts, top_n: int = 9) -> Bundle:
@@ -310,7 +320,7 @@ def add_pair_history(rows: DataFrame, b: Bundle) -> DataFrame:
 
 def add_item_recent(rows: DataFrame, b: Bundle) -> DataFrame:
     older = F.greatest(F.col("buyers") - F.col("r30_buy"), F.lit(0))
-    i = b.items.select(
+    i = b.item_counts.select(
         "cut", "item_id", S.log1p0("r30_buy").alias("i_r30_buy_log"), S.log1p0("r30_ord").alias("i_r30_ord_log"),
         S.log1p0("r60_buy").alias("i_r60_buy_log"),
         S.log1p0(F.col("r30_buy") / F.greatest(older, F.lit(1))).alias("i_growth30_log"),
