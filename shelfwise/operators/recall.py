@@ -216,12 +216,14 @@ def list_coverage(fused: DataFrame, catalog: DataFrame, pop: DataFrame, k: int =
     library = catalog.select(F.count_distinct("item_id").alias("c")).scalar()
     hot_tab = F.broadcast(hot_items(pop, hot).withColumn("hot", F.lit(1)))
     distinct = fused.select(F.count_distinct("item_id").alias("c")).scalar()
+    inside = fused.join(catalog.select("item_id"), "item_id", "left_semi").select(
+        F.count_distinct("item_id").alias("c")).scalar()
     per = fused.join(hot_tab, "item_id", "left").groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("hot", F.lit(0))).alias("hot"))
     return per.agg(
         F.count(F.lit(1)).alias("n_users"), F.sum("n").alias("n_rows"), (F.sum("hot") / F.sum("n")).alias("hot_share"),
         F.avg("n").alias("mean_length"), F.avg((F.col("n") >= k).cast("double")).alias("full_share"),
-    ).withColumn("n_unique", distinct).withColumn("coverage", F.col("n_unique") / library)
+    ).withColumn("n_unique", distinct).withColumn("coverage", inside / library)
 
 
 def top10_overlap(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:

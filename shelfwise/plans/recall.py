@@ -272,8 +272,8 @@ def _coverage_sql(t):
     return f"""SELECT count(DISTINCT user_id) AS n_users, count(*) AS n_rows, round(avg(CASE WHEN q.pos <= 100 THEN 1.0 ELSE 0.0 END), 6) AS hot_share,
  round(count(*) / count(DISTINCT user_id), 6) AS mean_length,
  round((SELECT avg(CASE WHEN n >= 50 THEN 1.0 ELSE 0.0 END) FROM (SELECT count(*) AS n FROM {t}_5 GROUP BY user_id)), 6) AS full_share,
- count(DISTINCT f.item_id) AS n_unique, round(count(DISTINCT f.item_id) / (SELECT count(*) FROM popq), 6) AS coverage
-FROM {t}_5 f JOIN popq q ON q.item_id = f.item_id"""
+ count(DISTINCT f.item_id) AS n_unique, round(count(DISTINCT q.item_id) / (SELECT count(*) FROM popq), 6) AS coverage
+FROM {t}_5 f LEFT JOIN popq q ON q.item_id = f.item_id"""
 
 
 def _coverage(spark, d, f, quotas):
