@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat_format, hilbert_shards
+from shelfwise.llm import byte_bpe, chat_format, hilbert_shards, wavelet_tokens
 from shelfwise.llm.common import read_table
 
 #: Conversation added to the given ones: control strings inside ordinary text.
@@ -17,6 +17,14 @@ SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'),
 """
 
 
+def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    shards = wavelet_tokens.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, bits=16)
+    return wavelet_tokens.read_tokens(shards)
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = hilbert_shards.hilbert_shards(docs, 40)
@@ -33,9 +41,18 @@ def op9_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(segments, chat_format.prefix_targets(segments))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_wavelet_tokens": op3_wavelet_tokens,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_prefix_targets": op9_prefix_targets,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
