@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import byte_bpe, chat_format, hilbert_shards, wavelet_tokens
+from shelfwise.llm import byte_bpe, chat_format, hilbert_shards, simhash_dups, wavelet_tokens
 from shelfwise.llm.common import read_table
 
 #: Conversation added to the given ones: control strings inside ordinary text.
@@ -25,6 +25,11 @@ def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_tokens.read_tokens(shards)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dups.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = hilbert_shards.hilbert_shards(docs, 40)
@@ -50,6 +55,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wavelet_tokens": op3_wavelet_tokens,
+    "op7_simhash": op7_simhash,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_prefix_targets": op9_prefix_targets,
     "op10_byte_bpe": op10_byte_bpe,
