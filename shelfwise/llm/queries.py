@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import byte_bpe, chat_format, decontaminate, hilbert_shards, simhash_dups, suffix_dedup, wavelet_tokens
+from shelfwise.llm import (byte_bpe, chat_format, decontaminate, hilbert_shards, language_id, quality, simhash_dups,
+                           suffix_dedup, wavelet_tokens)
 from shelfwise.llm.common import read_table
 
 #: Conversation added to the given ones: control strings inside ordinary text.
@@ -17,6 +18,10 @@ SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'),
 """
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +30,10 @@ def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_tokens.read_tokens(shards)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -64,7 +73,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_wavelet_tokens": op3_wavelet_tokens,
+    "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
