@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import (byte_bpe, chat_format, decontaminate, hilbert_shards, language_id, quality, simhash_dups,
-                           suffix_dedup, wavelet_tokens)
+                           suffix_dedup, vector_search, wavelet_tokens)
 from shelfwise.llm.common import read_table
 
 #: Conversation added to the given ones: control strings inside ordinary text.
@@ -22,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +79,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_cross_polytope": op2_cross_polytope,
     "op3_wavelet_tokens": op3_wavelet_tokens,
     "op4_quality": op4_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
