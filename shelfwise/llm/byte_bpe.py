@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import text_or_empty
+from shelfwise.llm.common import schema_with, text_or_empty
 
 LONG_WORD = 64
 ROUNDS = 64
@@ -209,9 +209,8 @@ def coder(path: str, pattern: str) -> DuckBpe:
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Per row: key, n_tokens, ids_sha256, decoded_sha256, and the ids and decoded text when ``with_ids``."""
-    extra = ", ids array<bigint>, decoded string" if with_ids else ""
-    kind = dict(docs.dtypes)[key]
+    """Per row: key, n_tokens, ids_sha256, decoded_sha256, and the ids when ``with_ids``."""
+    extra = ", ids array<int>" if with_ids else ""
 
     def run(batches):
         bpe = coder(path, pattern)
@@ -227,10 +226,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
                     "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded],
                 }
                 if with_ids:
-                    out["ids"] = pa.array([np.frombuffer(i, "<u4").tolist() for i in ids], pa.list_(pa.int64()))
-                    out["decoded"] = [d.decode("utf-8", "replace") for d in decoded]
+                    ends = np.cumsum([0, *(len(i) // 4 for i in ids)], dtype=np.int32)
+                    out["ids"] = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col(key), text_or_empty().alias("text"))
-    schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema_with(docs, [key], f"n_tokens long, ids_sha256 string, decoded_sha256 string{extra}"))

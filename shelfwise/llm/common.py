@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from shelfwise.sources.transactions import scratch_path
 
@@ -19,6 +20,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def schema_with(docs: DataFrame, names: list[str], more: str) -> StructType:
+    """Schema of the named columns of a frame followed by those of a DDL text."""
+    return StructType([docs.schema[n] for n in names] + _parse_datatype_string(more).fields)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

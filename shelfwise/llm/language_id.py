@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import held_out, stash, text_or_empty
+from shelfwise.llm.common import held_out, schema_with, stash, text_or_empty
 from shelfwise.llm.ngrams import DIMS, count_chunks, sum_vectors
 
 SAMPLE_ROWS = 6000
@@ -161,7 +161,6 @@ def train_language_model(train: DataFrame, sample_rows: int = SAMPLE_ROWS, epoch
 def predict_languages(docs: DataFrame, model: DataFrame, key: list[str]) -> DataFrame:
     """The key columns with lang_pred and score for every row. The model is a few MB whatever the corpus."""
     found = model.collect()
-    types = dict(docs.dtypes)
     spec = None
     if found:
         langs = json.loads(found[0].langs)
@@ -187,7 +186,7 @@ def predict_languages(docs: DataFrame, model: DataFrame, key: list[str]) -> Data
                  pa.array(score)], [*key, "lang_pred", "score"])
 
     rows = docs.select(text_or_empty().alias("_text"), *key)
-    return rows.mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in key) + ", lang_pred string, score double")
+    return rows.mapInArrow(run, schema_with(docs, key, "lang_pred string, score double"))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import held_out, stash, text_or_empty
+from shelfwise.llm.common import held_out, schema_with, stash, text_or_empty
 from shelfwise.llm.ngrams import DIMS, count_chunks, sum_vectors
 
 SAMPLE_ROWS = 6000
@@ -152,7 +152,6 @@ def _margin(at: np.ndarray, r: np.ndarray, w: np.ndarray) -> float:
 def score_quality(docs: DataFrame, model: DataFrame, key: list[str]) -> DataFrame:
     """The key columns with score for every row. The model is half a MB whatever the corpus."""
     m = model.first()
-    types = dict(docs.dtypes)
     spec = (np.frombuffer(bytes(m.weights)), np.frombuffer(bytes(m.ratio2)), m.a, m.b)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
@@ -167,7 +166,7 @@ def score_quality(docs: DataFrame, model: DataFrame, key: list[str]) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], [*key, "score"])
 
     rows = docs.select(text_or_empty().alias("_text"), *key)
-    return rows.mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in key) + ", score double")
+    return rows.mapInArrow(run, schema_with(docs, key, "score double"))
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import stash, text_or_empty
+from shelfwise.llm.common import schema_with, stash, text_or_empty
 from shelfwise.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_pydict({key: batch.column(0), "fp": fps.view(np.int64)})
 
     rows = docs.select(F.col(key), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, fp long")
+    return rows.mapInArrow(run, schema_with(docs, [key], "fp long"))
 
 
 def _patterns(bits: int) -> np.ndarray:

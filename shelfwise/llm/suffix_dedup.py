@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from shelfwise.llm.common import stash, text_or_empty
+from shelfwise.llm.common import schema_with, stash, text_or_empty
 from shelfwise.llm.repeats import LENGTH, anchor_ranges, bucket_at, mix, qgram_buckets, string_at
 
 BLOCK = 32
@@ -221,9 +222,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: b
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"),
                        F.xxhash64("doc_id", "text").alias("th"), text_or_empty().alias("_text"), "doc_id", *carry)
     extra = ", kept_text string" if with_text else ""
-    types = dict(docs.dtypes)
-    schema = ("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra
-              + "".join(f", {c} {types[c]}" for c in ["doc_id", *carry]))
+    own = schema_with(docs, [], "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
+    schema = StructType(own.fields + [docs.schema[c] for c in ["doc_id", *carry]])
 
     def run(batches):
         for batch in batches:
