@@ -220,7 +220,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: b
     spans = repeated_spans(keyed(docs)).groupBy("did", "th").agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"),
-                       F.xxhash64("doc_id", "text").alias("th"), text_or_empty().alias("_text"), "doc_id", *carry)
+                       F.xxhash64("doc_id", "text").alias("th"), text_or_empty().alias("_text"),
+                       F.struct("doc_id", *carry).alias("_carried"))
     extra = ", kept_text string" if with_text else ""
     own = schema_with(docs, [], "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
     schema = StructType(own.fields + [docs.schema[c] for c in ["doc_id", *carry]])
@@ -241,5 +242,5 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: b
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v) for v in out.values()] + part.columns[2:], [*out, "doc_id", *carry])
 
-    joined = rows.join(spans, ["did", "th"], "left").select("_text", "spans", "doc_id", *carry)
+    joined = rows.join(spans, ["did", "th"], "left").select("_text", "spans", "_carried.*")
     return joined.mapInArrow(run, schema)
