@@ -7,9 +7,9 @@ Three tools:
 * ``top_k`` - only the head of each group is needed.  ``row_number <= k`` lets Spark cut
   every map partition to k rows per group before the shuffle.
 * ``tie_table`` / ``average_rank`` / ``group_auc`` / ``grouped_median`` - a full ranking is
-  needed.  Rows collapse to (group, value, n) first, so ties cost nothing; then values are cut
-  into value ranges, each (group, range) is a window of its own and only one row per range is
-  added up over the whole group.  No group is ever sorted by a single task.
+  needed.  Rows collapse to (group, value, n) first, so ties cost nothing; then the values of a
+  group that has very many are cut into value ranges, each (group, range) is a window of its own
+  and only one row per range is added up over the whole group.
 * ``global_position`` - a dense 0-based position over the whole frame by a range sort.
 """
 
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.session import settle
 
-RANGES = 32
+#: A group with more distinct values than this is cut into value ranges of its own.
+HOT_VALUES = 100_000
+#: Ranges of such a group.
+RANGES = 256
 
 
 def top_k(df: DataFrame, by, order, k: int, rank: str = "rank") -> DataFrame:
@@ -35,38 +38,39 @@ def first_rank_desc(df: DataFrame, by, score: str, tie: str, out: str) -> DataFr
     return df.withColumn(out, F.row_number().over(w))
 
 
-def _with_range(vals: DataFrame, value: str, ranges: int) -> DataFrame:
-    """Number the value range of each row.  Any boundaries give the same result; the
-    approximate quantiles only keep the ranges of similar size."""
-    if ranges <= 1:
-        return vals.withColumn("__range", F.lit(0))
-    fractions = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    bounds = vals.select(
-        F.array_distinct(F.percentile_approx(value, fractions, F.lit(1000))).alias("b")
-    ).scalar()
-    return (
-        vals.withColumn("__bounds", bounds)
-        .withColumn(
-            "__range",
-            F.coalesce(F.size(F.filter("__bounds", lambda b: b < F.col(value))), F.lit(0)),
-        )
-        .drop("__bounds")
-    )
+def _with_range(vals: DataFrame, by: list, value: str) -> DataFrame:
+    """Number the value range of each row inside its group; ``vals`` has one row per (group, value).
+
+    Only groups with more than HOT_VALUES distinct values are cut, at their own approximate quantiles, so a
+    hot group whose values lie close together is spread as well.  Any boundaries give the same result.
+    """
+    fractions = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    keys = [F.col(k).alias(f"__h_{k}") for k in by]
+    hot = vals.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__c"), F.array_distinct(F.percentile_approx(value, fractions, F.lit(1000))).alias("__bounds")
+    ).filter(F.col("__c") > HOT_VALUES).drop("__c")
+    if by:
+        same = F.lit(True)
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
+        cut = vals.join(hot, same, "left").drop(*[f"__h_{k}" for k in by])
+    else:
+        cut = vals.withColumn("__bounds", hot.scalar())
+    below = F.size(F.filter("__bounds", lambda b: b < F.col(value)))
+    return cut.withColumn("__range", F.when(F.col("__bounds").isNull(), 0).otherwise(below)).drop("__bounds")
 
 
-def tie_table(df: DataFrame, by, value: str, extra=(), ranges: int = RANGES) -> DataFrame:
+def tie_table(df: DataFrame, by, value: str, extra=()) -> DataFrame:
     """One row per (group, distinct value): n rows, and ``below`` = rows of the group with a
     smaller value.  ``extra`` adds aggregates such as the positives per value."""
     by = list(by)
     vals = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extra)
-    vals = _with_range(vals, value, ranges)
+    vals = _with_range(vals, by, value)
     inside = (
         Window.partitionBy(*by, "__range").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     vals = vals.withColumn("__in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    if ranges <= 1:
-        return vals.withColumn("below", F.col("__in")).drop("__in", "__range")
     before = (
         Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -91,11 +95,10 @@ def tie_table(df: DataFrame, by, value: str, extra=(), ranges: int = RANGES) ->
     )
 
 
-def average_rank(df: DataFrame, by, value: str, out: str, size: str | None = None,
-                 ranges: int = RANGES) -> DataFrame:
+def average_rank(df: DataFrame, by, value: str, out: str, size: str | None = None) -> DataFrame:
     """Ascending rank with ties averaged, 1-based; optional group size column."""
     by = list(by)
-    ties = tie_table(df, by, value, ranges=ranges).select(
+    ties = tie_table(df, by, value).select(
         *[F.col(k).alias(f"__t_{k}") for k in by], F.col(value).alias("__t_value"),
         (F.col("below") + (F.col("n") + 1) / 2.0).alias(out),
     )
@@ -112,22 +115,22 @@ def average_rank(df: DataFrame, by, value: str, out: str, size: str | None = Non
     return ranked.join(sizes, by, "left")
 
 
-def percent_rank_avg(df: DataFrame, by, value: str, out: str, ranges: int = RANGES) -> DataFrame:
+def percent_rank_avg(df: DataFrame, by, value: str, out: str) -> DataFrame:
     """Average rank divided by the group size (or by the row count when ``by`` is empty)."""
-    ranked = average_rank(df, by, value, "__r", "__n", ranges)
+    ranked = average_rank(df, by, value, "__r", "__n")
     return ranked.withColumn(out, F.col("__r") / F.col("__n")).drop("__r", "__n")
 
 
-def percent_rank_zero_one(df: DataFrame, by, value: str, out: str, ranges: int = RANGES) -> DataFrame:
+def percent_rank_zero_one(df: DataFrame, by, value: str, out: str) -> DataFrame:
     """(average rank - 1) / (n - 1); a group of one row gets 0."""
-    ranked = average_rank(df, by, value, "__r", "__n", ranges)
+    ranked = average_rank(df, by, value, "__r", "__n")
     return ranked.withColumn(
         out,
         F.when(F.col("__n") > 1, (F.col("__r") - 1.0) / (F.col("__n") - 1.0)).otherwise(F.lit(0.0)),
     ).drop("__r", "__n")
 
 
-def group_auc(df: DataFrame, by, score: str, label: str = "label", ranges: int = RANGES) -> DataFrame:
+def group_auc(df: DataFrame, by, score: str, label: str = "label") -> DataFrame:
     """Per group: n, p and the exact ROC AUC (NULL when only one class is present).
 
     Rank sums add up range by range, so no row-level ranking is written back.
@@ -136,7 +139,7 @@ def group_auc(df: DataFrame, by, score: str, label: str = "label", ranges: int =
     vals = df.groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("p")
     )
-    vals = _with_range(vals, score, ranges)
+    vals = _with_range(vals, by, score)
     inside = (
         Window.partitionBy(*by, "__range").orderBy(score)
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -160,11 +163,11 @@ def group_auc(df: DataFrame, by, score: str, label: str = "label", ranges: int =
     return total.select(*by, "n", "p", auc.alias("auc"))
 
 
-def grouped_median(df: DataFrame, by, value: str, out: str, ranges: int = RANGES) -> DataFrame:
+def grouped_median(df: DataFrame, by, value: str, out: str) -> DataFrame:
     """Exact interpolated median per group from the collapsed value counts."""
     by = list(by)
     known = df.filter(F.col(value).isNotNull())
-    ties = tie_table(known, by, value, ranges=ranges)
+    ties = tie_table(known, by, value)
     sizes = ties.groupBy(*by).agg(F.sum("n").alias("__total"))
     if by:
         ties = ties.join(sizes, by)

@@ -28,19 +28,10 @@ def mean_of_counts(df: DataFrame, outer: str, inner: str, counted: str) -> DataF
     return per.groupBy(outer).agg(F.avg("n").alias("mean_count"))
 
 
-def chunked_sets(df: DataFrame, by: str, value: str, chunk: int) -> DataFrame:
-    """Sorted distinct values per group as arrays of about ``chunk`` entries.
-
-    A group above the limit comes out as several rows, so no array grows without bound.
-    """
+def collected_sets(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Sorted distinct values per group, one row and one array per group."""
     rows = df.select(by, value).distinct()
-    big = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk).select(
-        by, F.ceil(F.col("__n") / chunk).cast("int").alias("__parts"))
-    part = F.pmod(F.xxhash64(value), F.coalesce("__parts", F.lit(1))).cast("int")
-    return (
-        rows.join(big, by, "left").withColumn("part", part)
-        .groupBy(by, "part").agg(F.array_sort(F.collect_list(value)).alias("items"))
-    )
+    return rows.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("items"))
 
 
 def with_group_sum(df: DataFrame, by, value: str, out: str) -> DataFrame:

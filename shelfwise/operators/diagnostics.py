@@ -82,7 +82,7 @@ def bucket_metrics(df: DataFrame, history: DataFrame, anchor: str, final: str, m
     by = ["dim", "bin", *GROUP]
 
     def comp(score, name):
-        c = M.composite(M.group_metrics(rows, score, by, ranges=1), by=["dim", "bin"])
+        c = M.composite(M.group_metrics(rows, score, by), by=["dim", "bin"])
         return c.select("dim", "bin", "n_rows", "n_pos", F.col("composite").alias(name))
 
     users = rows.groupBy("dim", "bin").agg(F.count_distinct("user_id").alias("n_users")).filter(F.col("n_users") >= min_users)

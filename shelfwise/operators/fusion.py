@@ -12,8 +12,18 @@ GROUP = ["ym", "user_id"]
 
 
 def join_predictions(a: DataFrame, b: DataFrame, keys) -> DataFrame:
-    """Key join of two prediction tables; order is never assumed (check with alignment_check)."""
-    return a.join(b, list(keys))
+    """One-to-one key join of two prediction tables; order is never assumed.
+
+    A key that is missing on one side or occurs twice on one ends the job with the key in the message; use
+    ``alignment_check`` to count such keys first.
+    """
+    keys = list(keys)
+    left = a.withColumn("__a", F.lit(1)).withColumn("__na", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    right = b.withColumn("__b", F.lit(1)).withColumn("__nb", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    both = left.join(right, keys, "full")
+    told = F.concat(F.lit("not one to one: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    one = F.col("__a").isNotNull() & F.col("__b").isNotNull() & (F.col("__na") == 1) & (F.col("__nb") == 1)
+    return both.filter(F.when(one, F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))).drop("__a", "__b", "__na", "__nb")
 
 
 def alignment_check(a: DataFrame, b: DataFrame, keys) -> DataFrame:
@@ -97,14 +107,14 @@ def grid_group_auc(df: DataFrame, cols, vectors, chunk: int = 64) -> DataFrame:
     """Macro and weighted group AUC per weight vector."""
     return grid_metrics(
         df, cols, vectors,
-        lambda x: R.group_auc(x, ["weight_id", *GROUP], "score", ranges=1).groupBy("weight_id").agg(*M.auc_aggregates()), chunk)
+        lambda x: R.group_auc(x, ["weight_id", *GROUP], "score").groupBy("weight_id").agg(*M.auc_aggregates()), chunk)
 
 
 def grid_composite(df: DataFrame, cols, vectors, chunk: int = 64) -> DataFrame:
     """Composite metric per weight vector."""
     return grid_metrics(
         df, cols, vectors,
-        lambda x: M.composite(M.group_metrics(x, "score", ["weight_id", *GROUP], ranges=1), by=["weight_id"]), chunk)
+        lambda x: M.composite(M.group_metrics(x, "score", ["weight_id", *GROUP]), by=["weight_id"]), chunk)
 
 
 def grid_pooled_auc(df: DataFrame, cols, vectors, chunk: int = 64) -> DataFrame:
@@ -127,7 +137,7 @@ def alpha_sweep(df: DataFrame, anchor: str, alphas, resid: str = "resid_pct", by
     """Composite of anchor + alpha * residual percentile for every alpha in one job."""
     table = F.explode(F.array(*[F.lit(float(a)) for a in alphas]))
     rows = df.withColumn("alpha", table).withColumn("final", F.col(anchor) + F.col("alpha") * F.col(resid))
-    groups = M.group_metrics(rows, "final", ["alpha", *GROUP], ranges=1)
+    groups = M.group_metrics(rows, "final", ["alpha", *GROUP])
     return M.composite(groups, by=["alpha", *by])
 
 

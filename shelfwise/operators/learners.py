@@ -8,10 +8,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     FMClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise import schema as C
@@ -50,28 +50,44 @@ def forest(features, weight: str | None = None, trees: int = 100, depth: int = 6
     return Pipeline(stages=[_assembled(features), rf.setWeightCol(weight) if weight else rf])
 
 
-def with_id_features(rows: DataFrame, features, buckets: int) -> DataFrame:
-    """Adds vector ``x``: dense columns followed by hashed one-hot user and item ids."""
-    from pyspark.ml.feature import FeatureHasher
+def weight_total(rows: DataFrame, weight: str | None = None) -> float:
+    """Sum of the weights, or the number of rows without weights; the strength of regularisation is relative to it."""
+    one = F.lit(1.0) if weight is None else F.col(weight)
+    return float(rows.agg(F.coalesce(F.sum(one), F.lit(0.0)).alias("t")).first()["t"]) or 1.0
 
-    hashed = FeatureHasher(inputCols=["user_key", "item_key"], outputCol="ids", numFeatures=buckets).transform(
-        rows.withColumn("user_key", F.concat(F.lit("u"), F.col("user_id").cast("string")))
-        .withColumn("item_key", F.concat(F.lit("i"), "item_id")))
-    return VectorAssembler(inputCols=[*features, "ids"], outputCol="x").transform(hashed).drop("user_key", "item_key", "ids")
 
+def logistic_on(rows: DataFrame, features, c: float = 1.0, weight: str | None = None, max_iter: int = 100) -> Pipeline:
+    """``logistic`` with the weight total of the training rows."""
+    return logistic(features, c, weight, weight_total(rows, weight), max_iter)
 
-def replicate_by_weight(rows: DataFrame, weight: str = "weight", unit: float | None = None) -> DataFrame:
-    """Row copies for learners without a weight column: round(weight / unit), at least 1.
 
-    ``unit`` defaults to the smallest weight; a larger unit makes fewer copies.
+def id_encoder(known: DataFrame, features):
+    """Function that adds vector ``x``: dense columns and one column per known user and item id; other ids have no column.
+
+    Codes are positions in id order, so the vector is as wide as the data needs; an unknown id takes the one code
+    that the encoder drops.
     """
-    base = rows.select(F.min(weight).alias("m")).scalar() if unit is None else F.lit(unit)
-    copies = F.greatest(F.bround(F.col(weight) / base), F.lit(1)).cast("int")
-    return rows.withColumn("__c", copies).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__c")))).drop("__c", "__k")
+    users = R.global_position(known.select("user_id").distinct(), [F.col("user_id")], "user_code").persist()
+    items = R.global_position(known.select("item_id").distinct(), [F.col("item_id")], "item_code").persist()
+    n_users, n_items = users.count(), items.count()
+    spark = known.sparkSession
+    stages = [
+        OneHotEncoder(inputCols=[c], outputCols=[o], dropLast=True).fit(spark.range(n + 1).select(F.col("id").alias(c)))
+        for c, o, n in (("user_code", "__u", n_users), ("item_code", "__i", n_items))]
+    stages.append(VectorAssembler(inputCols=[*features, "__u", "__i"], outputCol="x"))
+
+    def encode(rows: DataFrame) -> DataFrame:
+        coded = rows.join(users, "user_id", "left").join(items, "item_id", "left").na.fill(
+            {"user_code": n_users, "item_code": n_items})
+        for stage in stages:
+            coded = stage.transform(coded)
+        return coded.drop("user_code", "item_code", "__u", "__i")
+
+    return encode
 
 
 def factorization(factor: int = 16, max_iter: int = 50, step: float = 0.02, reg: float = 1e-4, seed: int = C.SEED) -> FMClassifier:
-    """Factorization machine over a prepared vector ``x`` (it has no row weights: replicate rows)."""
+    """Factorization machine over a prepared vector ``x``.  Spark's learner has no row weights, so all rows count alike."""
     return FMClassifier(featuresCol="x", labelCol="label", factorSize=factor, maxIter=max_iter, stepSize=step,
                         regParam=reg, solver="adamW", seed=seed)
 
@@ -79,17 +95,17 @@ def factorization(factor: int = 16, max_iter: int = 50, step: float = 0.02, reg:
 def pairwise_rows(rows: DataFrame, features, by=("ym", "user_id"), per_positive: int = 20, seed: int = C.SEED) -> DataFrame:
     """Feature differences of positives against sampled negatives of the same list.
 
-    The ranking loss is defined over sampled pairs: every positive draws ``per_positive`` slots of
-    its list by hash, each negative answers in the slot its own hash falls in.  Lists are cut into
-    as many slots as needed for about one negative per slot, so neither all pairs of a list nor a
-    whole hot list ever meets in one task.
+    The ranking loss is defined over sampled pairs: the negatives of a list are numbered in hash order and every
+    positive draws ``per_positive`` numbers by hash, so each draw meets exactly one negative and all pairs of a
+    list are never formed.
     """
     by = list(by)
     diff = [*features]
     sizes = rows.filter(F.col("label") == 0).groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     key = lambda *p: F.xxhash64(*by, *p, F.lit(seed))
-    neg = rows.filter(F.col("label") == 0).join(sizes, by).withColumn(
-        "__slot", F.pmod(key("item_id"), F.col("__n"))).select(*by, "__slot", *[F.col(c).alias(f"n_{c}") for c in diff])
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(key("item_id"), "item_id")) - 1
+    neg = rows.filter(F.col("label") == 0).withColumn("__slot", number.cast("long")).select(
+        *by, "__slot", *[F.col(c).alias(f"n_{c}") for c in diff])
     pos = rows.filter(F.col("label") == 1).join(sizes, by).withColumn(
         "__d", F.explode(F.sequence(F.lit(1), F.lit(per_positive)))
     ).withColumn("__slot", F.pmod(key("item_id", "__d"), F.col("__n"))).select(*by, "__slot", "item_id", "__d", *diff)
@@ -125,7 +141,7 @@ def out_of_fold(rows: DataFrame, months, learner, weigh=None, last_k: int | None
                 parallel: int = 1, keep=("ym", "user_id", "item_id", "label")) -> DataFrame:
     """For every month after the first: fit on earlier months, score that month.
 
-    ``learner`` returns an estimator; ``weigh`` adds the weight column to training rows.  Folds
+    ``learner`` takes the training rows and returns an estimator; ``weigh`` adds their weight column.  Folds
     are few (one per month) and independent, so they may be submitted side by side.
     """
     def fold(item):
@@ -133,7 +149,7 @@ def out_of_fold(rows: DataFrame, months, learner, weigh=None, last_k: int | None
         train = rows.filter(F.col("ym").isin(train_months))
         if weigh is not None:
             train = weigh(train)
-        model = learner().fit(train)
+        model = learner(train).fit(train)
         return add_probability(model, rows.filter(F.col("ym") == target), score).select(*keep, score)
 
     folds = Rp.forward_folds(list(months), last_k=last_k)
@@ -158,7 +174,8 @@ def expert_pair(train: DataFrame, rows: DataFrame, learner, flag: str = "ui_owne
     """One model for first purchases and one for repurchases, each scoring its own rows."""
     out = None
     for value in (0, 1):
-        model = learner().fit(train.filter(F.col(flag) == value))
+        own = train.filter(F.col(flag) == value)
+        model = learner(own).fit(own)
         part = add_probability(model, rows.filter(F.col(flag) == value), score)
         out = part if out is None else out.unionByName(part)
     return out
@@ -175,22 +192,23 @@ def purchase_confidence(hist: DataFrame, cut=None, tau: float | None = None) ->
 
 def implicit_factors(conf: DataFrame, rank: int = 48, reg: float = 5.0, alpha: float = 30.0, iterations: int = 18,
                      seed: int = C.SEED):
-    """Implicit-feedback ALS.  Returns (model, item index).  User ids are cast to int; item ids
-    get dense codes."""
-    from shelfwise.sources.transactions import item_index
-
-    index = item_index(conf).persist()
-    coded = conf.join(index, "item_id").select(F.col("user_id").cast("int").alias("u"), F.col("item_idx").cast("int").alias("i"), F.col("r").cast("float").alias("r"))
+    """Implicit-feedback ALS.  Returns (model, index); users and items of any type get dense codes, kept in ``index``
+    as a pair of frames."""
+    users = R.global_position(conf.select("user_id").distinct(), [F.col("user_id")], "u").persist()
+    items = R.global_position(conf.select("item_id").distinct(), [F.col("item_id")], "i").persist()
+    coded = conf.join(users, "user_id").join(items, "item_id").select(
+        F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), F.col("r").cast("float").alias("r"))
     als = ALS(userCol="u", itemCol="i", ratingCol="r", rank=rank, regParam=reg, alpha=alpha, maxIter=iterations,
               implicitPrefs=True, nonnegative=False, coldStartStrategy="nan", seed=seed)
-    return als.fit(coded), index
+    return als.fit(coded), (users, items)
 
 
-def factor_scores(rows: DataFrame, model, index: DataFrame, out: str = "als", popularity: DataFrame | None = None,
+def factor_scores(rows: DataFrame, model, index, out: str = "als", popularity: DataFrame | None = None,
                   gamma: float = 0.0) -> DataFrame:
     """Dot product of user and item factors; unknown ids score 0; optional popularity term."""
-    users = model.userFactors.select(F.col("id").cast("bigint").alias("user_id"), F.col("features").alias("fu"))
-    items = model.itemFactors.join(index, F.col("id") == F.col("item_idx")).select("item_id", F.col("features").alias("fi"))
+    users, items = index
+    users = model.userFactors.join(users, F.col("id") == F.col("u")).select("user_id", F.col("features").alias("fu"))
+    items = model.itemFactors.join(items, F.col("id") == F.col("i")).select("item_id", F.col("features").alias("fi"))
     prod = F.aggregate(F.zip_with("fu", "fi", lambda a, b: (a * b).cast("double")), F.lit(0.0), lambda s, v: s + v)
     out_df = rows.join(users, "user_id", "left").join(items, "item_id", "left").withColumn(out, F.coalesce(prod, F.lit(0.0))).drop("fu", "fi")
     if popularity is not None:
@@ -207,13 +225,13 @@ def contribution_report(model: PipelineModel, features) -> list[tuple[str, float
     return sorted(zip(features, [float(v) for v in values.toArray()]), key=lambda t: -abs(t[1]))
 
 
-def sweep(rows: DataFrame, months, grid: dict, weigh=None, parallel: int = 1) -> DataFrame:
+def sweep(rows: DataFrame, months, grid: dict, weigh=None, parallel: int = 1, last_k: int | None = None) -> DataFrame:
     """Macro group AUC of every named learner of a small grid over the same folds."""
     from shelfwise.operators import metrics as M
 
     out = None
     for name, learner in grid.items():
-        oof = out_of_fold(rows, months, learner, weigh, parallel=parallel)
-        row = R.group_auc(oof, ["ym", "user_id"], "score", ranges=1).agg(*M.auc_aggregates()).withColumn("config", F.lit(name))
+        oof = out_of_fold(rows, months, learner, weigh, last_k, parallel=parallel)
+        row = R.group_auc(oof, ["ym", "user_id"], "score").agg(*M.auc_aggregates()).withColumn("config", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out

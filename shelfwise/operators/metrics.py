@@ -31,10 +31,10 @@ def ideal_dcg(p, k: int, mode: str):
 
 
 def group_metrics(df: DataFrame, score: str, by=GROUP, label: str = "label", k: int = 10,
-                  idcg: str = "reference", tie: str = "item_id", ranges: int = R.RANGES) -> DataFrame:
+                  idcg: str = "reference", tie: str = "item_id") -> DataFrame:
     """Per group: n, p, auc, ndcg, recall, hits."""
     by = list(by)
-    base = R.group_auc(df, by, score, label, ranges)
+    base = R.group_auc(df, by, score, label)
     head = R.top_k(df.select(*by, tie, score, label), by, [F.col(score).desc(), F.col(tie)], k, "__rk")
     hit = F.col(label) == 1
     lists = head.groupBy(*by).agg(

@@ -1,9 +1,9 @@
 """Eligible users, positives, negatives, splits and evaluation pools.
 
 Random choices are an md5 order over (user, item, seed), so they are the same on every cluster.
-Negatives walk the catalogue on a ring: items sit at their index position, each user starts at a
-hashed offset and takes the next free positions.  Only need + (number of excluded items) ring
-positions per user are laid out, never the user x catalogue product.
+Negatives walk the catalogue on a ring in md5 order with a start and a stride of each user's own.  Only
+need + (number of excluded items) + (padding to a prime) places per user are laid out, never the
+user x catalogue product.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from shelfwise import schema as C
 from shelfwise.functions import ranks as R
 from shelfwise.functions import scalar as S
-from shelfwise.sources.transactions import item_index
 
 
 def eligible_users(hist: DataFrame, min_orders: int = 2) -> DataFrame:
@@ -41,28 +40,43 @@ def pool_sizes(bought: DataFrame, catalog: DataFrame) -> DataFrame:
     return users.join(inside, "user_id", "left").select("user_id", (total - F.coalesce("n", F.lit(0))).alias("pool"))
 
 
-def ring_offset(user, size, seed: int):
-    """Hashed start position of a user: leading 28 bits of an md5, modulo the ring size."""
-    head = F.conv(F.substring(S.md5_key(F.col(user).cast("string"), seed), 1, 7), 16, 10).cast("bigint")
-    return F.pmod(head, size)
+def next_prime(n: int) -> int:
+    """Least prime that is at least n."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, int(n ** 0.5) + 1)):
+        n += 1
+    return n
+
+
+def _hashed(user: str, seed: int, name: str):
+    """Leading 28 bits of an md5 over user, seed and name."""
+    head = F.substring(S.md5_key(F.col(user).cast("string"), seed, name), 1, 7)
+    return F.conv(head, 16, 10).cast("bigint")
 
 
 def draw_unbought(need: DataFrame, excluded: DataFrame, catalog: DataFrame, seed: int = C.SEED) -> DataFrame:
     """``need`` (user_id, n) negatives per user from the catalogue minus ``excluded`` pairs,
     without replacement; a pool that is too small is taken whole.
 
-    Ring position p of user u is item (offset_u + p) mod size.  Among the first n + e positions
-    (e = the user's excluded items) at most e are excluded, so n free ones are always found.
+    Items lie on a ring in md5 order, padded with empty places to a prime length P.  User u visits the places
+    (start_u + p * stride_u) mod P for p = 0, 1, ...: start and stride are hashed per user, and as P is prime every
+    stride visits each place once, so each item is equally likely and draws of two users are unrelated.  Among
+    the first n + e + (P - size) places (e = the user's excluded items) at least n hold a free item.
     """
-    index = item_index(catalog).persist()
-    size = index.select(F.count(F.lit(1)).alias("c")).scalar()
+    items = catalog.select("item_id").distinct()
+    keyed = items.withColumn("key", S.md5_key(F.col("item_id"), seed, "ring"))
+    index = R.global_position(keyed, [F.col("key"), F.col("item_id")], "item_idx").select("item_id", "item_idx")
+    size = index.count()
+    prime = next_prime(size)
     out = excluded.select("user_id", "item_id").distinct()
     n_out = out.groupBy("user_id").agg(F.count(F.lit(1)).alias("e"))
+    start = F.pmod(_hashed("user_id", seed, "start"), F.lit(prime))
+    stride = F.pmod(_hashed("user_id", seed, "stride"), F.lit(prime - 1)) + 1
     span = (
-        need.filter(F.col("n") > 0).join(n_out, "user_id", "left").withColumn("size", size)
-        .withColumn("last", F.least(F.col("n") + F.coalesce("e", F.lit(0)), F.col("size")))
+        need.filter(F.col("n") > 0).join(n_out, "user_id", "left")
+        .withColumn("last", F.least(F.col("n") + F.coalesce("e", F.lit(0)) + F.lit(prime - size), F.lit(prime)))
         .withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - 1)))
-        .withColumn("item_idx", F.pmod(ring_offset("user_id", F.col("size"), seed) + F.col("p"), F.col("size")))
+        .withColumn("item_idx", F.pmod(start + F.col("p") * stride, F.lit(prime)))
     )
     free = span.join(index, "item_idx").join(out, ["user_id", "item_id"], "left_anti")
     w = Window.partitionBy("user_id").orderBy("p")

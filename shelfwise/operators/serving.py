@@ -44,8 +44,9 @@ def basket_label(rows: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def rerank(scored: DataFrame, score: str = "score", k: int | None = None) -> DataFrame:
-    """Order by model score; without k the whole recall list (at most 50 rows per user)."""
-    return R.top_k(scored, ["user_id"], [F.col(score).desc(), F.col("item_id")], k or 50)
+    """Order by model score; the first k rows of each user, or without k the whole list."""
+    ranked = R.first_rank_desc(scored, ["user_id"], score, "item_id", "rank")
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def display_rows(rows: DataFrame, catalog: DataFrame, products: DataFrame) -> DataFrame:

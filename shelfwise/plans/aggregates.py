@@ -75,7 +75,7 @@ def e06(spark, d):
 SELECT order_id, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT order_id, item_id FROM tx) GROUP BY 1
 """)
 def e07(spark, d):
-    lists = A.chunked_sets(tx(spark, d), "order_id", "item_id", 1000)
+    lists = A.collected_sets(tx(spark, d), "order_id", "item_id")
     return lists.select("order_id", F.array_join("items", ",").alias("items"))
 
 

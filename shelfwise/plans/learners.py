@@ -1,6 +1,7 @@
-"""N: learners (row checks only), with K10, A13, R12 and R13, which need a fitted model.
+"""N: learners, with K10, A13, R12 and R13, which need a fitted model.
 
-Tree counts and iterations are small here; the operators take them as parameters.
+Scores differ between engines, so a query returns what SQL can state about them: the keys of the scored rows, whether each
+score is a number in its range, and whether the scores order the rows better than chance where they are fitted.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from shelfwise.functions import ranks as R
 from shelfwise.functions import scalar as S
 from shelfwise.operators import features as Fe, fusion as Fu, learners as L, metrics as M, recall as Rc, replay as Rp, sampling as Sa, serving as Sv
 from shelfwise.plans import shared
-from shelfwise.plans.base import Family
+from shelfwise.plans.base import Family, cte
 from shelfwise.plans.features import TOP_N
 from shelfwise.schema import CUT, MONTH_CUTS
 from shelfwise.sources import retail, transactions as T
@@ -32,12 +33,20 @@ def wide(spark, d):
     return Fe.context_features(rows, b).withColumn("ui_owned", F.col("prior_bought").cast("double")).persist()
 
 
-def lr(weight="weight"):
-    return lambda: L.logistic(FEATS, weight=weight, weight_sum=1e4, max_iter=10)
+#: Tree counts of the two boosted configurations and the forest, iterations of the linear models.
+TREES, FOREST_TREES, MAX_ITER = 300, 100, 100
 
 
-def gbt(weight="weight"):
-    return lambda: L.boosted_trees(FEATS, weight=weight, trees=3, depth=3)
+def lr(weight="weight", c=1.0, features=FEATS):
+    return lambda train: L.logistic_on(train, features, c, weight, MAX_ITER)
+
+
+def gbt(weight="weight", trees=TREES, depth=5, step=0.05):
+    return lambda train: L.boosted_trees(FEATS, weight=weight, trees=trees, depth=depth, step=step)
+
+
+def _fit(learner, train):
+    return learner(train).fit(train)
 
 
 def _metrics(oof, name):
@@ -50,126 +59,172 @@ def _train_last(w):
     return w.filter(F.col("ym") < MONTHS[-1]), w.filter(F.col("ym") == MONTHS[-1])
 
 
-@add("n01_logistic")
+def in_unit(score="score"):
+    return F.coalesce(F.col(score).between(0.0, 1.0) & ~F.isnan(score), F.lit(False))
+
+
+def is_number(score="score"):
+    return F.coalesce(~F.isnan(score) & (F.abs(F.col(score)) < float("inf")), F.lit(False))
+
+
+def facts(scored, *more, valid=None):
+    return scored.select(*G, "item_id", "label", *more, (in_unit() if valid is None else valid).alias("valid"))
+
+
+def ordered_by_fit(model_scores):
+    """One row: rows, and whether the pooled AUC on the rows the model was fitted on is above one half."""
+    auc = M.pooled_auc(model_scores, "score")
+    return auc.select("n", "p", (F.col("auc") > 0.5).alias("better_than_chance"))
+
+
+LAST = f"SELECT ym, user_id, item_id, label, true AS valid FROM replay WHERE ym = '{MONTHS[-1]}'"
+LATER = f"SELECT ym, user_id, item_id, label, true AS valid FROM replay WHERE ym > '{MONTHS[0]}'"
+
+
+@add("n01_logistic", LAST)
 def n01(spark, d):
     train, last = _train_last(wide(spark, d))
-    model = lr()().fit(Rp.weight_equal_group(train))
-    return L.add_probability(model, last).select(*G, "item_id", "label", "score")
+    return facts(L.add_probability(_fit(lr(), Rp.weight_equal_group(train)), last))
 
 
-@add("n02_boosted_trees")
+@add("n01_logistic_fit", f"SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS p, true AS better_than_chance FROM replay WHERE ym < '{MONTHS[-1]}'")
+def n01_fit(spark, d):
+    train = Rp.weight_equal_group(_train_last(wide(spark, d))[0])
+    return ordered_by_fit(L.add_probability(_fit(lr(), train), train))
+
+
+@add("n02_boosted_trees", LAST)
 def n02(spark, d):
     train, last = _train_last(wide(spark, d))
-    return L.add_probability(gbt()().fit(Rp.weight_macro(train)), last).select(*G, "item_id", "label", "score")
+    return facts(L.add_probability(_fit(gbt(step=0.1), Rp.weight_macro(train)), last))
 
 
-@add("n03_boosted_trees_alt")
+@add("n03_boosted_trees_alt", LAST)
 def n03(spark, d):
     train, last = _train_last(wide(spark, d))
-    model = L.boosted_trees_alt(FEATS, "weight", trees=3, depth=4).fit(Rp.weight_equal_group(train))
-    return L.add_probability(model, last).select(*G, "item_id", "label", "score")
+    model = L.boosted_trees_alt(FEATS, "weight", trees=TREES, depth=6).fit(Rp.weight_equal_group(train))
+    return facts(L.add_probability(model, last))
 
 
-@add("n04_forest")
+@add("n04_forest", LAST)
 def n04(spark, d):
     train, last = _train_last(wide(spark, d))
-    model = L.forest(FEATS, "weight", trees=10, depth=4).fit(Rp.weight_equal_group(train))
-    return L.add_probability(model, last).select(*G, "item_id", "label", "score")
+    model = L.forest(FEATS, "weight", trees=FOREST_TREES, depth=6).fit(Rp.weight_equal_group(train))
+    return facts(L.add_probability(model, last))
 
 
-@add("n05_pairwise_ranker")
+@add("n05_pairwise_ranker", LATER)
 def n05(spark, d):
-    train, last = _train_last(wide(spark, d))
-    model = L.pairwise_ranker(FEATS, max_iter=10).fit(L.pairwise_rows(train, FEATS))
-    return L.add_margin(model, last).select(*G, "item_id", "label", "score")
+    """Out of fold: every later month scored by the ranker of the months before it."""
+    return facts(L.out_of_fold_ranker(wide(spark, d), MONTHS, FEATS), valid=is_number())
 
 
-@add("n06_factorization_machine")
+@add("n06_factorization_machine", LAST)
 def n06(spark, d):
+    """Rows count alike: the learner has no row weights."""
     train, last = _train_last(wide(spark, d))
-    copies = L.replicate_by_weight(Rp.weight_equal_group(train), unit=0.02)
-    model = L.factorization(factor=4, max_iter=5).fit(L.with_id_features(copies, FEATS, 4096))
-    return L.add_probability(model, L.with_id_features(last, FEATS, 4096)).select(*G, "item_id", "label", "score")
+    encode = L.id_encoder(train, FEATS)
+    model = L.factorization(factor=16, max_iter=50).fit(encode(train))
+    return facts(L.add_probability(model, encode(last)))
 
 
-def _als(spark, d, tau=None, gamma=0.0):
+def _als(spark, d, tau=None, gamma=0.0, rank=48, iterations=18):
     tx = retail.retail_view(spark, d)
     hist = tx.filter(F.col("ts") < S.at(CUT))
-    model, index = L.implicit_factors(L.purchase_confidence(hist, CUT, tau), rank=8, reg=0.1, iterations=3)
+    model, index = L.implicit_factors(L.purchase_confidence(hist, CUT, tau), rank=rank, iterations=iterations)
     pop = hist.groupBy("item_id").agg(F.count_distinct("user_id").alias("weight")) if gamma else None
     return L.factor_scores(retail.candidate_pairs(spark, d), model, index, "score", pop, gamma)
 
 
-@add("n07_implicit_factors")
+cte("known", "SELECT c.user_id, c.item_id, u.user_id IS NOT NULL AND i.item_id IS NOT NULL AS known FROM cand c LEFT JOIN (SELECT DISTINCT user_id FROM hist) u ON u.user_id = c.user_id LEFT JOIN (SELECT DISTINCT item_id FROM hist) i ON i.item_id = c.item_id")
+
+
+@add("n07_implicit_factors", "SELECT user_id, item_id, known FROM known")
 def n07(spark, d):
-    return _als(spark, d)
+    """Exactly the pairs of a known user and a known item have a score other than zero."""
+    return _als(spark, d).select("user_id", "item_id", (F.col("score") != 0).alias("known"))
 
 
-@add("n08_decayed_factors")
+@add("n08_decayed_factors", "SELECT user_id, item_id, true AS valid FROM cand")
 def n08(spark, d):
-    return _als(spark, d, tau=60.0, gamma=0.1)
+    scored = _als(spark, d, tau=60.0, gamma=0.1, rank=32)
+    return scored.select("user_id", "item_id", is_number().alias("valid"))
 
 
-@add("n09_factor_pair_scores")
+@add("n09_factor_pair_scores", "SELECT count(*) AS n, count(*) FILTER (WHERE NOT known) AS zero, CAST(0 AS BIGINT) AS nan FROM known")
 def n09(spark, d):
     """Share of pairs with a zero score because the user or the item has no factor."""
     return _als(spark, d).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("score") == 0).cast("bigint")).alias("zero"),
                               F.sum(F.isnan("score").cast("bigint")).alias("nan"))
 
 
-@add("n10_out_of_fold")
+@add("n10_out_of_fold", LATER)
 def n10(spark, d):
-    w = wide(spark, d)
-    oof = L.out_of_fold(w, MONTHS, lr(), Rp.weight_equal_group, parallel=2)
-    return oof.select(*G, "item_id", "label", "score")
+    return facts(L.out_of_fold(wide(spark, d), MONTHS, lr(), Rp.weight_equal_group, parallel=2))
+
 
+def _lr_grid():
+    """Window of training months x exponent of the group weight x inverse regularisation."""
+    return [(w, a, c) for w in (2, 3, None) for a in (0.5, 1.0) for c in (0.3, 1.0, 3.0)]
 
-@add("n11_parameter_sweep")
+
+@add("n11_parameter_sweep", "SELECT 'lr_w' || coalesce(CAST(w AS VARCHAR), 'all') || '_a' || a || '_c' || c AS config, true AS gauc_macro_ok, true AS gauc_weighted_ok"
+     " FROM (VALUES (2), (3), (NULL)) w(w), (VALUES ('0.5'), ('1.0')) a(a), (VALUES ('0.3'), ('1.0'), ('3.0')) c(c)")
 def n11(spark, d):
     w = wide(spark, d)
-    grid = {f"lr_c{c}": (lambda c=c: L.logistic(FEATS, c=c, weight="weight", weight_sum=1e4, max_iter=5)) for c in (0.1, 1.0)}
-    return L.sweep(w, MONTHS[-2:], grid, Rp.weight_equal_group)
+    out = None
+    for window, alpha, c in _lr_grid():
+        name = f"lr_w{window or 'all'}_a{alpha}_c{c}"
+        part = L.sweep(w, MONTHS, {name: lr(c=c)}, lambda rows, e=alpha: Rp.weight_group_power(rows, e), last_k=window)
+        out = part if out is None else out.unionByName(part)
+    return out.select("config", in_unit("gauc_macro").alias("gauc_macro_ok"), in_unit("gauc_weighted").alias("gauc_weighted_ok"))
 
 
-@add("n12_expert_pair")
+@add("n12_expert_pair", f"SELECT ym, user_id, item_id, label, CAST(prior_bought AS DOUBLE) AS ui_owned, true AS valid FROM replay WHERE ym = '{MONTHS[-1]}'")
 def n12(spark, d):
     train, last = _train_last(wide(spark, d))
-    return L.expert_pair(Rp.weight_equal_group(train), last, lr()).select(*G, "item_id", "label", "ui_owned", "score")
+    return facts(L.expert_pair(Rp.weight_equal_group(train), last, lr()), "ui_owned")
 
 
-@add("n13_residual_learner")
+@add("n13_residual_learner", f"SELECT ym, user_id, item_id, label, true AS lr_valid, true AS tree_valid FROM replay WHERE ym = '{MONTHS[-1]}'")
 def n13(spark, d):
     from shelfwise.operators import baskets as B
 
     rows = shared.replay_rows(spark, d).select("cut", "ym", "user_id", "item_id", "label")
     f = B.features_for_scheme(retail.retail_view(spark, d), rows, MONTH_CUTS, "cos_bigbasket").persist()
     train, last = _train_last(f)
-    model = L.logistic(B.FEATURES, c=0.1, weight_sum=1e4, max_iter=10).fit(train)
-    small = L.boosted_trees(B.FEATURES, trees=3, depth=2).fit(train)
+    model = L.logistic_on(train, B.FEATURES, c=0.1, max_iter=MAX_ITER).fit(train)
+    small = L.boosted_trees(B.FEATURES, trees=50, depth=2).fit(train)
     both = L.add_probability(small, L.add_probability(model, last, "lr_resid"), "tree_resid")
-    return both.select(*G, "item_id", "label", "lr_resid", "tree_resid")
+    return both.select(*G, "item_id", "label", in_unit("lr_resid").alias("lr_valid"), in_unit("tree_resid").alias("tree_valid"))
 
 
-@add("n14_back_test")
+@add("n14_back_test", " UNION ALL ".join(
+    f"SELECT '{m}' AS model, '{a}' AS train_month, '{b}' AS test_month, (SELECT count(*) FROM replay WHERE ym = '{b}') AS n_rows, true AS valid"
+    for a, b in zip(MONTHS, MONTHS[1:]) for m in ("trees", "factorization")))
 def n14(spark, d):
-    """Train on month m, score month m+1, for the last two months."""
+    """Train on month m, score month m + 1: boosted trees and a factorization machine."""
     w = wide(spark, d)
     out = None
-    for train_m, test_m in ((MONTHS[-2], MONTHS[-1]), (MONTHS[-3], MONTHS[-2])):
-        model = lr(None)().fit(w.filter(F.col("ym") == train_m))
-        scored = L.add_probability(model, w.filter(F.col("ym") == test_m))
-        part = M.pool_metrics(scored, "score", by=G).withColumn("train_month", F.lit(train_m)).withColumn("test_month", F.lit(test_m))
-        out = part if out is None else out.unionByName(part)
+    for train_m, test_m in zip(MONTHS, MONTHS[1:]):
+        train, test = Rp.weight_macro(w.filter(F.col("ym") == train_m)), w.filter(F.col("ym") == test_m)
+        encode = L.id_encoder(train, FEATS)
+        for name, scored in (
+            ("trees", L.add_probability(_fit(gbt(trees=50), train), test)),
+            ("factorization", L.add_probability(L.factorization(factor=16, max_iter=50).fit(encode(train)), encode(test))),
+        ):
+            part = scored.agg(F.lit(name).alias("model"), F.lit(train_m).alias("train_month"), F.lit(test_m).alias("test_month"),
+                              F.count(F.lit(1)).alias("n_rows"), F.min(in_unit()).alias("valid"))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
-@add("n15_retrain_and_score")
-def n15(spark, d):
+def _retrained(spark, d):
     """Fit on all replay months, score every candidate at a later cut."""
     from datetime import datetime
 
-    w = wide(spark, d)
-    model = lr()().fit(Rp.weight_equal_group(w))
+    w = Rp.weight_equal_group(wide(spark, d))
+    model = _fit(lr(), w)
     later = datetime(2001, 8, 1)
     b = Fe.build_bundle(retail.retail_view(spark, d, country=True), retail.products(spark, d), [later], TOP_N)
     cand = T.read_candidates(retail.candidate_pairs(spark, d)).withColumn("cut", S.at(later))
@@ -177,26 +232,48 @@ def n15(spark, d):
     return T.submission(L.add_probability(model, rows))
 
 
-@add("k10_candidate_scoring")
+@add("n15_retrain_and_score", "SELECT user_id, item_id, true AS valid FROM cand")
+def n15(spark, d):
+    return _retrained(spark, d).select("user_id", "item_id", in_unit().alias("valid"))
+
+
+@add("k10_candidate_scoring", """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE c.user_id NOT IN (SELECT user_id FROM tx) OR c.item_id NOT IN (SELECT item_id FROM tx)) AS cold_rows,
+ count(p.user_id) AS owned_rows, true AS valid FROM cand c LEFT JOIN pairs p ON p.user_id = c.user_id AND p.item_id = c.item_id
+""")
 def k10(spark, d):
     """Model of an earlier cut applied at a later one, with the coverage summary."""
-    sub = n15(spark, d)
+    sub = _retrained(spark, d)
     tx = retail.retail_view(spark, d)
-    return Sv.score_summary(sub, "score", tx, tx, tx)
+    out = Sv.score_summary(sub, "score", tx, tx, tx)
+    fine = in_unit("lo") & in_unit("p50") & in_unit("hi") & (F.col("lo") <= F.col("p50")) & (F.col("p50") <= F.col("hi"))
+    return out.select("n_rows", "cold_rows", "owned_rows", fine.alias("valid"))
 
 
-@add("a13_model_round_trip")
+@add("a13_model_round_trip", f"SELECT count(*) AS n, true AS same FROM replay WHERE ym = '{MONTHS[-1]}'")
 def a13(spark, d):
     train, last = _train_last(wide(spark, d))
     path = T.scratch_path(spark, "model")
-    model = lr(None)().fit(train)
+    model = _fit(lr(None), train)
     model.write().overwrite().save(path)
     again = PipelineModel.load(path)
     a, b = L.add_probability(model, last, "s1"), L.add_probability(again, last, "s2")
-    return Fu.max_gap(a, b, [*G, "item_id"], "s1", "s2")
+    keys = [*G, "item_id"]
+    both = a.select(*keys, "s1").join(b.select(*keys, "s2"), keys)
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("s1") - F.col("s2"))) == 0).alias("same"))
+
 
+_LAST_COUNTS = f"""(SELECT count(*) FROM replay WHERE ym = '{MONTHS[-1]}') AS n_rows,
+ (SELECT count(DISTINCT user_id) FROM replay WHERE ym = '{MONTHS[-1]}') AS n_groups, (SELECT CAST(sum(label) AS BIGINT) FROM replay WHERE ym = '{MONTHS[-1]}') AS n_pos"""
 
-@add("r12_recipe_matrix")
+
+def _checked(metrics):
+    return metrics.select("model", "n_rows", "n_groups", "n_pos", in_unit("composite").alias("composite_ok"), in_unit("gauc").alias("gauc_ok"))
+
+
+@add("r12_recipe_matrix", f"""
+SELECT 'active=' || a || ',split=' || s AS model, {_LAST_COUNTS}, true AS composite_ok, true AS gauc_ok FROM (VALUES ('False'), ('True')) a(a), (VALUES ('False'), ('True')) s(s)
+""")
 def r12(spark, d):
     """Active-user filter on/off x expert split on/off, composite of the last month."""
     w = wide(spark, d)
@@ -206,17 +283,19 @@ def r12(spark, d):
         t = Rp.keep_active(train, retail.retail_view(spark, d)) if active else train
         t = Rp.weight_equal_group(t)
         for split in (False, True):
-            scored = L.expert_pair(t, last, lr()) if split else L.add_probability(lr()().fit(t), last)
+            scored = L.expert_pair(t, last, lr()) if split else L.add_probability(_fit(lr(), t), last)
             part = _metrics(scored, f"active={active},split={split}")
             out = part if out is None else out.unionByName(part)
-    return out
+    return _checked(out)
 
 
-@add("r13_feature_ablation")
+@add("r13_feature_ablation", f"""
+SELECT m AS model, (SELECT count(*) FROM replay WHERE ym > '{MONTHS[0]}') AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT ym, user_id FROM replay WHERE ym > '{MONTHS[0]}')) AS n_groups,
+ (SELECT CAST(sum(label) AS BIGINT) FROM replay WHERE ym > '{MONTHS[0]}') AS n_pos, true AS composite_ok, true AS gauc_ok FROM (VALUES ('pair columns'), ('all columns')) v(m)
+""")
 def r13(spark, d):
     """Same folds with fewer and with all columns."""
     w = wide(spark, d)
-    few = FEATS[:3]
-    a = L.out_of_fold(w, MONTHS[-2:], lambda: L.logistic(few, weight="weight", weight_sum=1e4, max_iter=10), Rp.weight_equal_group)
-    b = L.out_of_fold(w, MONTHS[-2:], lr(), Rp.weight_equal_group)
-    return _metrics(a, "pair columns").unionByName(_metrics(b, "all columns"))
+    a = L.out_of_fold(w, MONTHS, lr(features=FEATS[:3]), Rp.weight_equal_group)
+    b = L.out_of_fold(w, MONTHS, lr(), Rp.weight_equal_group)
+    return _checked(_metrics(a, "pair columns").unionByName(_metrics(b, "all columns")))

@@ -87,7 +87,7 @@ SELECT stage, b AS rows_before, b - a AS rows_removed, a AS rows_after,
        round((b - a) / b, 6) AS removed_ratio, round(a / t, 6) AS cum_retention FROM s
 """.replace("WITH n AS", "SELECT * FROM (WITH n AS").replace("({})", "dirty") + ")")
 def b05(spark, d):
-    return cleaning.cleaning_funnel(dirty(spark, d)).select(
+    return cleaning.cleaning_funnel(retail.dirty_transactions(spark, d, dimensions=False)).select(
         "stage", "rows_before", "rows_removed", "rows_after",
         F.round("removed_ratio", 6).alias("removed_ratio"), F.round("cum_retention", 6).alias("cum_retention"))
 

@@ -17,14 +17,24 @@ add = FAMILY.add
 cte("elig", "SELECT user_id FROM hist GROUP BY 1 HAVING count(DISTINCT order_id) >= 2")
 cte("pos_new", "SELECT user_id, item_id FROM fpairs WHERE user_id IN (SELECT user_id FROM elig) EXCEPT SELECT user_id, item_id FROM hist")
 cte("pos_all", "SELECT user_id, item_id FROM fpairs WHERE user_id IN (SELECT user_id FROM elig)")
-cte("ring", "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS sz FROM (SELECT DISTINCT item_id FROM hist)")
-cte("ring_all", "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS sz FROM (SELECT DISTINCT item_id FROM tx)")
+_RING = """
+SELECT item_id, row_number() OVER (ORDER BY md5(item_id || '-42-ring'), item_id) - 1 AS idx, (
+  SELECT min(k) FROM range(2000000) t(k) WHERE k >= greatest(2, (SELECT count(DISTINCT item_id) FROM {src}))
+  AND k < (SELECT count(DISTINCT item_id) FROM {src}) + 400
+  AND NOT EXISTS (SELECT 1 FROM range(2, 1500) f(f) WHERE f.f * f.f <= k AND k % f.f = 0)) AS sz
+FROM (SELECT DISTINCT item_id FROM {src})"""
+cte("ring", _RING.format(src="hist"))
+cte("ring_all", _RING.format(src="tx"))
 
 
 def _draw(need, excluded, ring="ring"):
-    return f"""SELECT user_id, item_id FROM (SELECT n.user_id, r.item_id, n.n,
- row_number() OVER (PARTITION BY n.user_id ORDER BY (r.idx - ('0x' || substr(md5(n.user_id || '-42'), 1, 7))::BIGINT % r.sz + r.sz) % r.sz) AS k
- FROM {need} n, {ring} r WHERE NOT EXISTS (SELECT 1 FROM {excluded} x WHERE x.user_id = n.user_id AND x.item_id = r.item_id)) WHERE k <= n"""
+    """Step at which a user's walk reaches an item: (place - start) times the inverse of the stride, found by listing steps."""
+    hashed = "('0x' || substr(md5(n.user_id || '-42-{}'), 1, 7))::BIGINT"
+    return f"""SELECT user_id, item_id FROM (SELECT w.user_id, r.item_id, w.n, row_number() OVER (PARTITION BY w.user_id ORDER BY w.p) AS k
+ FROM (SELECT n.user_id, n.n, t.p, ({hashed.format('start')} % z.sz + t.p * ({hashed.format('stride')} % (z.sz - 1) + 1)) % z.sz AS idx
+  FROM {need} n, (SELECT DISTINCT sz FROM {ring}) z, (SELECT unnest(range((SELECT max(sz) FROM {ring}))) AS p) t) w
+ JOIN {ring} r ON r.idx = w.idx
+ WHERE NOT EXISTS (SELECT 1 FROM {excluded} x WHERE x.user_id = w.user_id AND x.item_id = r.item_id)) WHERE k <= n"""
 
 
 cte("neg_new", _draw("(SELECT user_id, count(*) * 3 AS n FROM pos_new GROUP BY 1)", "pairs"))

@@ -58,7 +58,7 @@ def k02(spark, d):
 def _scored(spark, d):
     x, w = wide(spark, d)
     w = w.persist()
-    model = L.logistic(_FEATS, weight_sum=float(w.count()), max_iter=10).fit(w)
+    model = L.logistic_on(w, _FEATS).fit(w)
     return x, w, model, L.add_probability(model, w)
 
 
@@ -141,7 +141,7 @@ def k08(spark, d):
 @add("k09_contribution_report")
 def k09(spark, d):
     _, w, model, _ = _scored(spark, d)
-    trees = L.boosted_trees(_FEATS, trees=3, depth=3).fit(w)
+    trees = L.boosted_trees(_FEATS, trees=100, depth=5).fit(w)
     rows = [("lr", f, v) for f, v in L.contribution_report(model, _FEATS)]
     rows += [("gbt", f, v) for f, v in L.contribution_report(trees, _FEATS)]
     return spark.createDataFrame(rows, "model string, feature string, value double")

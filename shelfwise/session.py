@@ -28,12 +28,14 @@ def local_session(cores: str = "8", name: str = "shelfwise") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; fall back to a local one only if none is set."""
+    """Use the shared folder the session names; a local one only where none is set and the master is local."""
     if spark.conf.get("spark.checkpoint.dir", None):
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
         return
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-ckpt-"))
 
 

@@ -59,24 +59,27 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dirty_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_transactions(spark: SparkSession, sf_dir: str, dimensions: bool = True) -> DataFrame:
     """The raw transaction file as it arrives: NULL users, cancelled invoices, bad quantities,
-    zero prices, service codes and repeated rows, all derived from the order lines."""
-    tx = retail_view(spark, sf_dir, product=True, country=True)
+    zero prices, service codes and repeated rows, all derived from the order lines.
+
+    ``dimensions=False`` leaves out description and country, and the joins for them."""
+    tx = retail_view(spark, sf_dir, product=dimensions, country=dimensions)
     key = F.col("order_id")
     raw = tx.select(
         F.concat(F.when(F.col("cancelled"), F.lit("C")).otherwise(F.lit("")), key.cast("string")).alias("invoice_no"),
         F.when((F.col("line_no") == 6) & (key % 11 == 0), F.lit("POST")).otherwise(F.col("item_id")).alias("item_id"),
-        "descr",
+        *["descr"] * dimensions,
         F.when((key % 9 == 0) & (F.col("line_no") == 5), -F.col("qty"))
         .when((key % 17 == 0) & (F.col("line_no") == 4), F.lit(None).cast("double"))
         .otherwise(F.col("qty")).alias("qty"),
         "ts",
         F.when((key % 10 == 0) & (F.col("line_no") == 3), F.lit(0.0)).otherwise(F.col("unit_price")).alias("unit_price"),
         F.when(key % 7 == 0, F.lit(None).cast("bigint")).otherwise(F.col("user_id")).alias("user_id"),
-        "country",
+        *["country"] * dimensions,
     )
-    return raw.unionAll(raw.filter(F.col("invoice_no").endswith("3")))
+    copies = F.when(F.col("invoice_no").endswith("3"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return raw.withColumn("__copy", F.explode(copies)).drop("__copy")
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,5 @@
 """Hand-made frames: ties, single classes, empty sides, hot groups."""
 
-import math
 import random
 from collections import defaultdict
 from datetime import datetime
@@ -14,10 +13,14 @@ from shelfwise.operators import aggregates as A
 from shelfwise.operators import baskets as B
 from shelfwise.operators import cleaning
 from shelfwise.operators import features as Fe
+from shelfwise.operators import fusion as Fu
+from shelfwise.operators import learners as L
 from shelfwise.operators import metrics as M
 from shelfwise.operators import profiling
 from shelfwise.operators import recall as Rc
 from shelfwise.operators import sampling as Sa
+from shelfwise.operators import sequences as Q
+from shelfwise.operators import serving as Sv
 from shelfwise.operators import similarity as sim
 from shelfwise.operators import vectors as V
 
@@ -49,13 +52,14 @@ def test_average_rank_and_group_of_one(spark):
     assert one["p"] == 0.0
 
 
-@pytest.mark.parametrize("ranges", [1, 7])
-def test_ranges_do_not_change_results(spark, ranges):
+@pytest.mark.parametrize("hot", [3, 100_000])
+def test_ranges_do_not_change_results(spark, monkeypatch, hot):
+    monkeypatch.setattr(R, "HOT_VALUES", hot)
     rnd = random.Random(3)
     rows = [("hot" if rnd.random() < .5 else f"g{rnd.randrange(5)}", float(rnd.randrange(40)), rnd.randrange(2)) for _ in range(600)]
     df = spark.createDataFrame(rows, "g string, v double, label int")
-    got = {r["g"]: r for r in R.group_auc(df, ["g"], "v", ranges=ranges).collect()}
-    med = {r["g"]: r["m"] for r in R.grouped_median(df, ["g"], "v", "m", ranges=ranges).collect()}
+    got = {r["g"]: r for r in R.group_auc(df, ["g"], "v").collect()}
+    med = {r["g"]: r["m"] for r in R.grouped_median(df, ["g"], "v", "m").collect()}
     by = defaultdict(list)
     for g, v, y in rows:
         by[g].append((v, y))
@@ -173,8 +177,62 @@ def test_global_position_and_whole_days(spark):
     assert x.first()["d"] == 1
 
 
-def test_chunked_sets_keep_everything(spark):
-    df = spark.createDataFrame([("o", f"i{k:03d}") for k in range(50)] + [("p", "i1")], "o string, i string")
-    parts = A.chunked_sets(df, "o", "i", 8).collect()
-    assert sorted(x for p in parts if p["o"] == "o" for x in p["items"]) == [f"i{k:03d}" for k in range(50)]
-    assert math.fsum(1 for p in parts if p["o"] == "o") > 1
+def test_hot_group_in_a_narrow_span_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT_VALUES", 100)
+    rows = [("hot", 5.0 + k / 1e6) for k in range(900)] + [("cold", float(k)) for k in range(100)]
+    vals = spark.createDataFrame(rows, "g string, v double")
+    cut = R._with_range(vals, ["g"], "v").groupBy("g").agg(F.count_distinct("__range").alias("n"), F.max("__range").alias("m"))
+    got = {r["g"]: r for r in cut.collect()}
+    assert got["hot"]["n"] > 50 and got["cold"]["m"] == 0
+
+
+def test_long_baskets_stay_whole(spark):
+    rows = [("o", f"i{k:04d}") for k in range(2500)] + [("p", "i1"), ("p", "i2")]
+    df = spark.createDataFrame(rows, "order_id string, item_id string")
+    assert {r["order_id"]: len(r["items"]) for r in A.collected_sets(df, "order_id", "item_id").collect()} == {"o": 2500, "p": 2}
+    assert {r["order_id"]: len(r["items"]) for r in Q.basket_corpus(df).collect()} == {"o": 2500, "p": 2}
+
+
+def test_rerank_keeps_the_whole_list(spark):
+    df = spark.createDataFrame([(1, f"i{k:02d}", float(k)) for k in range(60)], "user_id long, item_id string, score double")
+    assert Sv.rerank(df).count() == 60 and Sv.rerank(df, k=10).count() == 10 and Sv.rerank(df, k=0).count() == 0
+
+
+def test_draws_are_spread_over_the_catalogue(spark):
+    cat = spark.createDataFrame([(f"i{k:04d}",) for k in range(500)], "item_id string")
+    need = spark.createDataFrame([(u, 8) for u in range(400)], "user_id long, n long")
+    got = defaultdict(list)
+    for r in Sa.draw_unbought(need, need.select("user_id", F.lit("none").alias("item_id")), cat).collect():
+        got[r["user_id"]].append(int(r["item_id"][1:]))
+    assert all(len(set(x)) == 8 for x in got.values())
+    spread = [max(x) - min(x) for x in got.values()]
+    assert sum(s > 200 for s in spread) > 380
+    times = [0] * 500
+    for x in got.values():
+        for k in x:
+            times[k] += 1
+    assert max(times) < 25 and sum(t == 0 for t in times) < 10
+
+
+def test_pairwise_rows_draw_the_stated_number(spark):
+    rows = [("m", 1, f"i{k}", int(k == 0), float(k)) for k in range(6)]
+    df = spark.createDataFrame(rows, "ym string, user_id long, item_id string, label int, f double")
+    assert L.pairwise_rows(df, ["f"], per_positive=20).count() == 20
+
+
+def test_factors_take_any_user_id(spark):
+    rows = [(3_000_000_000 + u, f"i{k}", 1.0) for u in range(6) for k in range(4) if (u + k) % 2]
+    conf = spark.createDataFrame(rows, "user_id long, item_id string, r double")
+    model, index = L.implicit_factors(conf, rank=2, iterations=2)
+    scored = L.factor_scores(spark.createDataFrame([(3_000_000_000, "i1"), (7, "i1")], "user_id long, item_id string"), model, index)
+    got = {r["user_id"]: r["als"] for r in scored.collect()}
+    assert got[7] == 0.0 and got[3_000_000_000] != 0.0
+
+
+def test_join_predictions_refuses_unmatched_and_doubled_keys(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, s string")
+    b = a.withColumnRenamed("s", "t")
+    assert Fu.join_predictions(a, b, ["k"]).count() == 2
+    for bad in (b.filter("k = 1"), b.union(b.filter("k = 1"))):
+        with pytest.raises(Exception, match="not one to one"):
+            Fu.join_predictions(a, bad, ["k"]).collect()
