@@ -140,6 +140,12 @@ def weight_equal_group(rows: DataFrame) -> DataFrame:
     return _with_group_count(rows, ["user_id", "ym"], "__n").withColumn("weight", 1 / F.col("__n")).drop("__n")
 
 
+def weight_group_power(rows: DataFrame, alpha: float) -> DataFrame:
+    """n to the power of -alpha, n = rows of the user in the month."""
+    return _with_group_count(rows, ["user_id", "ym"], "__n").withColumn(
+        "weight", F.pow(F.col("__n").cast("double"), F.lit(-alpha))).drop("__n")
+
+
 def weight_power(rows: DataFrame, alpha: float) -> DataFrame:
     return rows.withColumn(
         "weight", F.when(F.col("label") == 1, F.pow(class_ratio(rows), F.lit(alpha))).otherwise(F.lit(1.0)))
