@@ -16,8 +16,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -155,27 +157,59 @@ class WaveletMatrix:
         return [self.select(token, k) for k in range(self.count(token))]
 
 
-class PieceEncoder:
-    """Ids of a text from its space-separated pieces, each distinct piece going through the tokenizer once.
+#: A word of Latin letters (none of which changes its kind when lower-cased) and the run of marks after it.
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([-.,;:!?%&*+/#$@=)]*)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The visible character that byte-level BPE writes for each byte: itself where printable, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class PieceEncoder(dict):
+    """Ids of a text from its space-separated pieces; the mapping holds the pieces met so far.
 
     The tokenizer drops white space and never joins across it, so pieces cut at space and line feed encode
-    as they do inside the text. The memory of pieces is emptied when it holds ``most`` of them.
+    as they do inside the text. A piece that is one Latin word, perhaps with marks after it, goes straight to the
+    library's BPE model, lower-cased and in byte letters; any other piece takes its whole path. The memories of
+    pieces and of words are emptied when they hold ``most`` of them, between two batches.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        super().__init__()
+        self.tokenizer, self.most, self.words = Tokenizer.from_file(path), most, {}
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return found
+
+    def __missing__(self, piece: str) -> bytes:
+        if simple := _SIMPLE(piece):
+            word, marks = simple.groups()
+            found = self._word(word.lower())
+            if marks:
+                found += self._word(marks)
+        else:
+            found = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = found
+        return found
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, np.uint32).tobytes()
-        known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, p)), np.uint32) for p in pieces]
+        if len(self) > self.most:
+            self.clear()
+        if len(self.words) > self.most // 2:
+            self.words.clear()
+        known = self.__getitem__
+        return [np.frombuffer(b"".join(map(known, t.replace("\n", " ").split(" "))), np.uint32) for t in texts]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -191,8 +225,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, bits: in
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _ENCODERS.setdefault(tokenizer_path, None) or PieceEncoder(tokenizer_path)
-        _ENCODERS[tokenizer_path] = encoder
+        encoder = _ENCODERS.get(tokenizer_path)
+        if encoder is None:
+            encoder = _ENCODERS[tokenizer_path] = PieceEncoder(tokenizer_path)
         part, number, start = TaskContext.get().partitionId(), 0, 0
         ids, arrays, held = [], [], 0
 
