@@ -291,11 +291,24 @@ def add_cf(rows: DataFrame, b: Bundle) -> DataFrame:
 
 def add_vectors(rows: DataFrame, b: Bundle, vectors: DataFrame, k: int = NN_K) -> DataFrame:
     """Similarity to the mean owned unit vector and share of the item's k neighbours owned."""
+    return add_neighbour_hits(add_vector_similarity(rows, b, vectors), b, vectors, k)
+
+
+def add_vector_similarity(rows: DataFrame, b: Bundle, vectors: DataFrame) -> DataFrame:
+    """Similarity of the item to the mean owned unit vector."""
     from shelfwise.operators import vectors as V
 
-    u = V.unit_vectors(vectors).persist()
     own = b.pairs.select("cut", "user_id", "item_id")
     prof = V.mean_vectors(own, vectors, by=("cut", "user_id")).withColumnRenamed("vec", "uvec")
+    return rows.join(V.unit_vectors(vectors), "item_id", "left").join(prof, ["cut", "user_id"], "left").withColumn(
+        "ui_emb_sim", F.coalesce(V.dot("vec", "uvec"), F.lit(0.0))).drop("vec", "uvec")
+
+
+def add_neighbour_hits(rows: DataFrame, b: Bundle, vectors: DataFrame, k: int = NN_K) -> DataFrame:
+    """Share of the item's k nearest items that the user owns."""
+    from shelfwise.operators import vectors as V
+
+    own = b.pairs.select("cut", "user_id", "item_id")
     near = V.all_pairs_top_k(vectors, k).select("item_id", F.col("neighbor").alias("nb"))
     sizes = near.groupBy("item_id").agg(F.count(F.lit(1)).alias("k"))
     hits = (
@@ -304,9 +317,7 @@ def add_vectors(rows: DataFrame, b: Bundle, vectors: DataFrame, k: int = NN_K) -
         .groupBy("cut", "user_id", "item_id").agg(F.count(F.lit(1)).alias("h"))
     )
     out = (
-        rows.join(u, "item_id", "left").join(prof, ["cut", "user_id"], "left")
-        .withColumn("ui_emb_sim", F.coalesce(V.dot("vec", "uvec"), F.lit(0.0))).drop("vec", "uvec")
-        .join(hits, ["cut", "user_id", "item_id"], "left").join(sizes, "item_id", "left")
+        rows.join(hits, ["cut", "user_id", "item_id"], "left").join(sizes, "item_id", "left")
     )
     return out.withColumn("ui_nn_hit_rate", F.coalesce(F.col("h") / F.col("k"), F.lit(0.0))).drop("h", "k")
 

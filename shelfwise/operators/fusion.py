@@ -176,10 +176,11 @@ def user_blocks(df: DataFrame, score: str, tie, user: str = "user_id", out: str
 
 
 def max_gap(a: DataFrame, b: DataFrame, keys, col_a: str, col_b: str) -> DataFrame:
-    """Matched rows and largest absolute difference of two stored scores."""
+    """Matched rows, largest absolute difference of two stored scores, and rows that differ by more than 1e-12."""
     other = b.select(*keys, F.col(col_b).alias("__other"))
     return a.join(other, list(keys)).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col(col_a) - F.col("__other"))).alias("max_gap"))
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col(col_a) - F.col("__other"))).alias("max_gap"),
+        F.sum((F.abs(F.col(col_a) - F.col("__other")) > 1e-12).cast("bigint")).alias("n_changed"))
 
 
 def seats(df: DataFrame, by, score: str, k: int = 10, tie: str = "item_id") -> DataFrame:

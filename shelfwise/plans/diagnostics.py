@@ -10,7 +10,7 @@ from shelfwise.operators.replay import as_of
 from shelfwise.plans import shared
 from shelfwise.plans.base import Family, cte
 from shelfwise.plans.fusion import boosted
-from shelfwise.plans.metrics import COMP, groups_sql, r6
+from shelfwise.plans.metrics import ALPHAS, COMP, groups_sql, r6, sweep_sql
 from shelfwise.schema import CUT, MONTH_CUTS
 from shelfwise.sources import retail
 
@@ -168,13 +168,14 @@ def r10(spark, d):
                  F.round(F.avg((F.col("hg_linear") > 0).cast("double")), 6).alias("share_other"))
 
 
-@add("r10_scheme_sweep")
+@add("r10_scheme_sweep", " UNION ALL ".join(
+    f"SELECT '{s}' AS scheme, alpha, round({COMP}, 6) AS composite FROM {sweep_sql(s, source='sig')} GROUP BY 2" for s in ("cos_bigbasket", "hg_linear")))
 def r10b(spark, d):
     """Composite per alpha of the anchor plus each scheme's group percentile."""
     s = _signals(spark, d, ["cos_bigbasket", "hg_linear"]).persist()
     out = None
     for scheme in ("cos_bigbasket", "hg_linear"):
-        part = Fu.alpha_sweep(Fu.add_residual(s, scheme), "s_pop", [0.0, 0.05]).withColumn("scheme", F.lit(scheme))
+        part = Fu.alpha_sweep(Fu.add_residual(s, scheme), "s_pop", ALPHAS).withColumn("scheme", F.lit(scheme))
         out = part if out is None else out.unionByName(part)
     return out.select("scheme", "alpha", r6("composite"))
 

@@ -174,11 +174,14 @@ def g14(spark, d):
 
 
 @add("g15_user_country", """
-SELECT user_id, country, 1.0::DOUBLE AS country_other, 0.0::DOUBLE AS country_uk FROM u_country
+SELECT user_id, country, CAST(country NOT IN ('United Kingdom', 'France') AS INT)::DOUBLE AS country_other, CAST(country = 'United Kingdom' AS INT)::DOUBLE AS country_uk
+FROM (SELECT user_id, CASE country WHEN (SELECT max(n_name) FROM nation) THEN 'France' WHEN (SELECT min(n_name) FROM nation) THEN 'United Kingdom' ELSE country END AS country FROM u_country)
 """)
 def g15(spark, d):
     h = hist(spark, d, country=True)
-    c = Fe.user_country(h)
+    names = retail.table(spark, d, "nation").agg(F.min("n_name").alias("a"), F.max("n_name").alias("z")).first()
+    c = Fe.user_country(h).withColumn("country", F.when(F.col("country") == names["a"], "United Kingdom")
+                                      .when(F.col("country") == names["z"], "France").otherwise(F.col("country")))
     return c.select("user_id", "country", *[x for i, x in enumerate(S.country_indicators("country")) if i in (0, 4)])
 
 
@@ -236,7 +239,7 @@ SELECT c.user_id, c.item_id, round(coalesce(list_inner_product(v.vec, u.vec), 0)
 FROM cand c LEFT JOIN vec_unit v ON v.item_id = c.item_id LEFT JOIN u_vec u ON u.user_id = c.user_id
 """)
 def g27(spark, d):
-    out = Fe.add_vectors(rows(spark, d), bundle(spark, d), retail.item_vectors(spark, d))
+    out = Fe.add_vector_similarity(rows(spark, d), bundle(spark, d), retail.item_vectors(spark, d))
     return rounded(out, ["user_id", "item_id"], ["ui_emb_sim"])
 
 
@@ -245,7 +248,7 @@ SELECT c.user_id, c.item_id, round(count(o.item_id) / 20.0, 6) AS ui_nn_hit_rate
 FROM cand c LEFT JOIN vec_near n ON n.i = c.item_id LEFT JOIN hpairs o ON o.user_id = c.user_id AND o.item_id = n.j GROUP BY 1, 2
 """)
 def g28(spark, d):
-    out = Fe.add_vectors(rows(spark, d), bundle(spark, d), retail.item_vectors(spark, d))
+    out = Fe.add_neighbour_hits(rows(spark, d), bundle(spark, d), retail.item_vectors(spark, d))
     return rounded(out, ["user_id", "item_id"], ["ui_nn_hit_rate"])
 
 
@@ -328,19 +331,26 @@ def _labelled_wide(spark, d):
     return Fe.context_features(r, b)
 
 
-@add("g50_validate_wide", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS null_cells, CAST(0 AS BIGINT) AS bad_labels, true AS columns_ok, CAST(0 AS BIGINT) AS unknown_items FROM cand")
+@add("g50_validate_wide", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE user_id % 11 = 4) AS null_cells, count(*) FILTER (WHERE user_id % 11 = 5) AS bad_labels, true AS columns_ok, count(*) FILTER (WHERE user_id % 11 = 6) AS unknown_items FROM cand")
 def g50(spark, d):
     index = retail.products(spark, d).select("item_id")
-    return Fe.validate_wide(_labelled_wide(spark, d), C.FEATURES_CONTEXT, index)
+    kind, first = F.col("user_id") % 11, C.FEATURES_CONTEXT[0]
+    wide = _labelled_wide(spark, d)
+    damaged = wide.withColumns({
+        first: F.when(kind != 4, F.col(first)), "label": F.when(kind == 5, 2).otherwise(F.col("label")),
+        "item_id": F.when(kind == 6, F.lit("no such item")).otherwise(F.col("item_id"))})
+    return Fe.validate_wide(damaged, C.FEATURES_CONTEXT, index)
 
 
-@add("g51_train_serve_equal", "SELECT count(*) AS n_rows, 0.0::DOUBLE AS p_ui_n_ord_log, 0.0::DOUBLE AS i_r30_buy_log FROM cand")
+@add("g51_train_serve_equal", "SELECT count(*) AS n_rows, " + ", ".join(f"0.0::DOUBLE AS {c}" for c in C.FEATURES_CONTEXT) + ", 0.5::DOUBLE AS served_wrong FROM cand")
 def g51(spark, d):
-    """The same cut computed alone and together with other cuts gives the same columns."""
-    alone = Fe.add_item_recent(Fe.add_pair_history(rows(spark, d), bundle(spark, d)), bundle(spark, d))
-    many = bundle(spark, d, MONTH_CUTS)
-    together = Fe.add_item_recent(Fe.add_pair_history(rows(spark, d), many), many)
-    return Fe.max_difference(alone, together, ["cut", "user_id", "item_id"], ["p_ui_n_ord_log", "i_r30_buy_log"])
+    """The same cut computed alone and together with other cuts gives the same columns; a column that is served with an
+    offset shows it."""
+    alone = Fe.context_features(rows(spark, d), bundle(spark, d)).withColumn("served_wrong", F.col("p_ui_n_ord_log"))
+    together = Fe.context_features(rows(spark, d), bundle(spark, d, MONTH_CUTS)).withColumn(
+        "served_wrong", F.col("p_ui_n_ord_log") + 0.5)
+    out = Fe.max_difference(alone, together, ["cut", "user_id", "item_id"], [*C.FEATURES_CONTEXT, "served_wrong"])
+    return out.select("n_rows", *[F.round(c, 9).alias(c) for c in [*C.FEATURES_CONTEXT, "served_wrong"]])
 
 
 @add("g52_class_means", """

@@ -133,10 +133,12 @@ def q10(spark, d):
     return T.submission(Fu.blend_global_ranks(last, {"s_pop": 0.1, "s_own": 0.9})).withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
-@add("q11_stored_fusion_equal", "SELECT count(*) AS n_rows, true AS equal FROM preds")
+@add("q11_stored_fusion_equal", "SELECT count(*) AS n_rows, false AS equal, count(*) FILTER (WHERE user_id % 10 = 3) AS n_changed FROM preds")
 def q11(spark, d):
     path = T.scratch_path(spark, "fusion")
     blend = Fu.average_scores(preds(spark, d), ["s_pop", "s_rec"]).select(*KEY, "score")
-    blend.write.parquet(path)
-    return Fu.max_gap(blend, spark.read.parquet(path), KEY, "score", "score").select(
-        "n_rows", (F.col("max_gap") <= 1e-12).alias("equal"))
+    changed = F.when(F.col("user_id") % 10 == 3, F.col("score") + 0.5).otherwise(F.col("score"))
+    blend.withColumn("score", changed).write.parquet(path)
+    stored = spark.read.parquet(path)
+    return Fu.max_gap(blend, stored, KEY, "score", "score").select(
+        "n_rows", (F.col("max_gap") <= 1e-12).alias("equal"), "n_changed")

@@ -112,7 +112,8 @@ def d10(spark, d):
 
 
 @add("d11_key_alignment", """
-SELECT count(*) AS matched, CAST(0 AS BIGINT) AS left_only, CAST(0 AS BIGINT) AS right_only, CAST(0 AS BIGINT) AS duplicate_keys FROM preds
+SELECT count(*) FILTER (WHERE user_id % 7 <> 1 AND user_id % 7 <> 2) AS matched, count(*) FILTER (WHERE user_id % 7 = 1) AS left_only,
+ count(*) FILTER (WHERE user_id % 7 = 2) AS right_only, count(*) FILTER (WHERE user_id % 7 = 3) AS duplicate_keys FROM preds
 """)
 def d11(spark, d):
     from shelfwise.operators import fusion
@@ -120,7 +121,10 @@ def d11(spark, d):
 
     p = shared.predictions(spark, d)
     keys = ["ym", "user_id", "item_id"]
-    return fusion.alignment_check(p.select(*keys, "s_pop"), p.select(*keys, "s_rec"), keys)
+    third = F.col("user_id") % 7
+    left = p.select(*keys, "s_pop").filter(third != 2)
+    right = p.select(*keys, "s_rec").filter(third != 1)
+    return fusion.alignment_check(left, right.unionByName(right.filter(third == 3)), keys)
 
 
 @add("d12_as_of", """

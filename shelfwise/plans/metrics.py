@@ -135,14 +135,15 @@ def p12(spark, d):
     return M.monthly_gain(shared.predictions(spark, d), "s_pop", "s_own").select("ym", r6("anchor_comp"), r6("final_comp"), r6("d_comp"))
 
 
-@add("p13_reproduction_check", f"SELECT DISTINCT ym, 0.0::DOUBLE AS diff_composite, true AS reproduced FROM preds")
+@add("p13_reproduction_check", """SELECT DISTINCT ym, CASE WHEN ym = '2001-06' THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS diff_composite, ym <> '2001-06' AS reproduced FROM preds""")
 def p13(spark, d):
-    """The stored table is written first, then compared with a fresh computation."""
+    """The stored table is written first, with one month changed, then compared with a fresh computation."""
     from shelfwise.sources import transactions as T
 
     table = M.monthly_composite(shared.predictions(spark, d), "s_own").select("ym", "composite")
     path = T.scratch_path(spark, "stored-metrics")
-    table.write.parquet(path)
+    changed = F.when(F.col("ym") == "2001-06", F.col("composite") + 0.01).otherwise(F.col("composite"))
+    table.withColumn("composite", changed).write.parquet(path)
     return M.reproduction_check(table, spark.read.parquet(path), ["ym"], ["composite"]).withColumn(
         "diff_composite", F.round("diff_composite", 9))
 
@@ -150,12 +151,12 @@ def p13(spark, d):
 ALPHAS = [0.0, 0.05, 0.2]
 
 
-def sweep_sql(resid: str, anchor: str = "s_pop") -> str:
+def sweep_sql(resid: str, anchor: str = "s_pop", source: str = "preds", values=None) -> str:
     """Composite per (alpha, month) of anchor + alpha * group percentile of the residual."""
-    alphas = ", ".join(f"({a}::DOUBLE)" for a in ALPHAS)
+    alphas = ", ".join(f"({a}::DOUBLE)" for a in values or ALPHAS)
     src = f"""(SELECT a.alpha, q.*, q.{anchor} + a.alpha * q.rp AS fin FROM (VALUES {alphas}) a(alpha), (
  SELECT *, CASE WHEN gn > 1 THEN (r0 - 1.0) / (gn - 1.0) ELSE 0.0 END AS rp FROM (SELECT *, rank() OVER (PARTITION BY ym, user_id ORDER BY {resid}) + (count(*) OVER (PARTITION BY ym, user_id, {resid}) - 1) / 2.0 AS r0,
-  count(*) OVER (PARTITION BY ym, user_id) AS gn FROM preds)) q)"""
+  count(*) OVER (PARTITION BY ym, user_id) AS gn FROM {source})) q)"""
     return groups_sql("fin", src, "alpha, ym, user_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise import schema as C
@@ -62,10 +63,18 @@ def _scored(spark, d):
     return x, w, model, L.add_probability(model, w)
 
 
-@add("k03_score_and_rerank")
+@add("k03_score_and_rerank", """
+SELECT f.user_id, f.item_id, CASE WHEN b.user_id IS NULL THEN 0 ELSE 1 END AS label, count(*) OVER (PARTITION BY f.user_id) AS n, true AS rank_ok, true AS score_ok
+FROM fused3 f LEFT JOIN basket b ON b.user_id = f.user_id AND b.item_id = f.item_id
+""")
 def k03(spark, d):
     _, _, _, scored = _scored(spark, d)
-    return Sv.rerank(scored).select("user_id", "item_id", "rank", "score", "label")
+    ranked = Sv.rerank(scored)
+    w = Window.partitionBy("user_id")
+    order = F.lag("score").over(w.orderBy("rank"))
+    fine = (F.max("rank").over(w) == F.count(F.lit(1)).over(w)) & F.coalesce(order >= F.col("score"), F.lit(True))
+    return ranked.select("user_id", "item_id", "label", F.count(F.lit(1)).over(w).alias("n"), fine.alias("rank_ok"),
+                         F.col("score").between(0.0, 1.0).alias("score_ok"))
 
 
 def _display_dims(spark, d):
@@ -74,12 +83,13 @@ def _display_dims(spark, d):
     return cat, products
 
 
-@add("k04_batch_top_n")
+@add("k04_batch_top_n", "SELECT user_id, CAST(least(10, count(*)) AS BIGINT) AS n, true AS shown FROM fused3 GROUP BY 1")
 def k04(spark, d):
     _, _, _, scored = _scored(spark, d)
     cat, products = _display_dims(spark, d)
     top = Sv.rerank(scored, k=10).select("user_id", "item_id", "rank", "score", F.array_join("routes", "|").alias("routes"))
-    return Sv.display_rows(top, cat, products)
+    shown = F.col("descr").isNotNull() & F.col("descr_zh").isNotNull() & F.col("category").isNotNull() & (F.col("routes") != "")
+    return Sv.display_rows(top, cat, products).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min(shown).alias("shown"))
 
 
 _SHOW = """round(t.sim, 4) AS sim, CAST(t.r AS INTEGER) AS rank, p.p_name AS descr, CASE WHEN p.p_type = 'PROMO' THEN p.p_name ELSE upper(p.p_name) END AS descr_zh,
@@ -138,10 +148,12 @@ def k08(spark, d):
     return Sv.display_rows(cat.select("item_id"), cat, products).select("item_id", "descr", "descr_zh", "category", "buyers")
 
 
-@add("k09_contribution_report")
+@add("k09_contribution_report", "SELECT m AS model, f AS feature, true AS valid FROM (VALUES ('lr'), ('gbt')) m(m), (VALUES "
+     + ", ".join(f"('{f}')" for f in _FEATS) + ") f(f)")
 def k09(spark, d):
     _, w, model, _ = _scored(spark, d)
     trees = L.boosted_trees(_FEATS, trees=100, depth=5).fit(w)
     rows = [("lr", f, v) for f, v in L.contribution_report(model, _FEATS)]
     rows += [("gbt", f, v) for f, v in L.contribution_report(trees, _FEATS)]
-    return spark.createDataFrame(rows, "model string, feature string, value double")
+    report = spark.createDataFrame(rows, "model string, feature string, value double")
+    return report.select("model", "feature", (~F.isnan("value") & (F.abs("value") < float("inf"))).alias("valid"))
