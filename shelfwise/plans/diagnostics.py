@@ -12,6 +12,7 @@ from shelfwise.plans.base import Family, cte
 from shelfwise.plans.fusion import boosted
 from shelfwise.plans.metrics import ALPHAS, COMP, groups_sql, r6, sweep_sql
 from shelfwise.schema import CUT, MONTH_CUTS
+from shelfwise.session import settle
 from shelfwise.sources import retail
 
 FAMILY = Family()
@@ -133,8 +134,8 @@ def r09(spark, d):
 def _signals(spark, d, schemes):
     """Candidates at one cut with the last-basket similarity of several schemes side by side."""
     tx = retail.retail_view(spark, d)
-    base = preds(spark, d).filter(F.col("ym") == "2001-06").select("ym", "cut", "user_id", "item_id", "label", "s_pop").persist()
-    rows = as_of(B.basket_rows(tx), [CUT]).persist()
+    base = preds(spark, d).filter(F.col("ym") == "2001-06").select("ym", "cut", "user_id", "item_id", "label", "s_pop")
+    base, rows = settle(base), settle(as_of(B.basket_rows(tx), [CUT]))
     out = base
     for s in schemes:
         f = B.basket_features(base.select("cut", "user_id", "item_id"), rows, B.item_similarity(rows, s))
@@ -172,7 +173,7 @@ def r10(spark, d):
     f"SELECT '{s}' AS scheme, alpha, round({COMP}, 6) AS composite FROM {sweep_sql(s, source='sig')} GROUP BY 2" for s in ("cos_bigbasket", "hg_linear")))
 def r10b(spark, d):
     """Composite per alpha of the anchor plus each scheme's group percentile."""
-    s = _signals(spark, d, ["cos_bigbasket", "hg_linear"]).persist()
+    s = settle(_signals(spark, d, ["cos_bigbasket", "hg_linear"]))
     out = None
     for scheme in ("cos_bigbasket", "hg_linear"):
         part = Fu.alpha_sweep(Fu.add_residual(s, scheme), "s_pop", ALPHAS).withColumn("scheme", F.lit(scheme))
