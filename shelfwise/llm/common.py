@@ -59,3 +59,17 @@ def global_order(df: DataFrame, order: list[str], weight: str | None = None, nam
         inside = F.coalesce(F.sum("_w").over(within), F.lit(0))
     out = stored.join(F.broadcast(starts), "_part").withColumn("before", F.col("_start") + inside)
     return out.drop("_part", "_w", "_at", "_start")
+
+
+def bounded_sample(ids: DataFrame, group: str, rows: int) -> DataFrame:
+    """doc_id of at most ``rows`` rows: the groups in turn, each in the order of a hash.
+
+    Rows of a group that come after about its first 2 * ``rows`` in that order are left out before anything is
+    sorted, so what meets in one task is bounded by the parameter and not by the group.
+    """
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    sizes = ids.groupBy(group).agg(F.count("*").alias("_n"))
+    early = ids.join(sizes, group).withColumn("_h", place).where(F.col("_h") * F.col("_n") <= 2 * rows + 1000)
+    turn = F.row_number().over(Window.partitionBy(group).orderBy("_h", "doc_id"))
+    first = early.withColumn("_turn", turn).where(F.col("_turn") <= rows)
+    return first.orderBy("_turn", group, "_h", "doc_id").limit(rows).select("doc_id")

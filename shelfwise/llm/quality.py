@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import held_out, schema_with, stash, text_or_empty
+from shelfwise.llm.common import bounded_sample, held_out, schema_with, stash, text_or_empty
 from shelfwise.llm.ngrams import DIMS, count_chunks, sum_vectors
 
 SAMPLE_ROWS = 6000
@@ -68,11 +68,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame
     """text, y, chosen: training rows with their label and whether the descent reads them."""
     one = labels.where("doc_id is not null and quality is not null and not " + _held_sql()).groupBy("doc_id").agg(
         (F.avg("quality") >= 0.5).cast("int").alias("y"))
-    hashed = one.withColumn("h", F.xxhash64("doc_id"))
-    turn = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
-    first = hashed.withColumn("turn", turn).where(F.col("turn") <= sample_rows).orderBy("turn", "y").limit(sample_rows)
-    marked = one.join(first.select("doc_id", F.lit(True).alias("chosen")), "doc_id", "left")
-    return docs.select("doc_id", text_or_empty().alias("text")).join(marked, "doc_id").select(
+    first = bounded_sample(one, "y", sample_rows)
+    marked = one.join(first.withColumn("chosen", F.lit(True)), "doc_id", "left")
+    # labels grow with the corpus, so they are never broadcast, however few there are
+    return docs.select("doc_id", text_or_empty().alias("text")).join(marked.hint("merge"), "doc_id").select(
         "text", "y", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
