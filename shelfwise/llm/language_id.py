@@ -18,10 +18,10 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import held_out, schema_with, stash, text_or_empty
+from shelfwise.llm.common import bounded_sample, held_out, schema_with, stash, text_or_empty
 from shelfwise.llm.ngrams import DIMS, count_chunks, sum_vectors
 
 SAMPLE_ROWS = 6000
@@ -91,11 +91,9 @@ def _lower(texts: list[str]) -> list[str]:
 
 
 def _sample(train: DataFrame, rows: int) -> DataFrame:
-    """text, lang of at most ``rows`` rows: each language's rows in hash order, languages in turn."""
-    ids = train.where("doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = ids.withColumn("turn", turn).where(F.col("turn") <= rows).orderBy("turn", "h", "doc_id").limit(rows)
-    return train.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("text", "lang")
+    """text, lang of at most ``rows`` rows, the languages in turn; the ids of that many rows are all that is broadcast."""
+    chosen = bounded_sample(train.where("doc_id is not null").select("doc_id", "lang"), "lang", rows)
+    return train.join(F.broadcast(chosen.distinct()), "doc_id").select("text", "lang")
 
 
 def _sample_features(sample: DataFrame) -> DataFrame:
