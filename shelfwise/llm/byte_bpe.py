@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import schema_with, text_or_empty
+from shelfwise.llm.common import give_back, schema_with, slices, text_or_empty
 
 LONG_WORD = 64
 ROUNDS = 64
@@ -208,19 +208,32 @@ def coder(path: str, pattern: str) -> DuckBpe:
     return _CODERS[path, pattern]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Per row: key, n_tokens, ids_sha256, decoded_sha256, and the ids when ``with_ids``."""
+def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", with_ids: bool = False,
+                  reuse: bool = True) -> DataFrame:
+    """Per row: key, n_tokens, ids_sha256, decoded_sha256, and the ids when ``with_ids``.
+
+    ``reuse`` keeps a worker's encoder and its memory of words for its next task; without it the worker gives them back
+    at the end of each task, for jobs whose other stages need the memory.
+    """
     extra = ", ids array<int>" if with_ids else ""
 
     def run(batches):
-        bpe = coder(path, pattern)
+        bpe = coder(path, pattern) if reuse else DuckBpe(path, pattern)
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            if not reuse:
+                bpe.con.close()
+                bpe.words, bpe.inner, bpe.whole = {}, {}, {}
+                give_back()
+
+    def encoded(bpe, batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                ids = bpe.encode(texts[at:at + 500])
+            for part in slices(batch):
+                ids = bpe.encode(part.column(1).to_pylist())
                 decoded = bpe.decode(ids)
                 out = {
-                    key: batch.column(0).slice(at, 500),
+                    key: part.column(0),
                     "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
                     "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
                     "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded],

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -25,6 +29,22 @@ def schema_with(docs: DataFrame, names: list[str], more: str) -> StructType:
     return StructType([docs.schema[n] for n in names] + _parse_datatype_string(more).fields)
 
 
+def slices(batch, rows: int = 500):
+    """A record batch in pieces of a few rows, so that only those are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Spark keeps a task's worker process for the tasks of later stages."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

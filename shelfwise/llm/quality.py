@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import bounded_sample, held_out, schema_with, stash, text_or_empty
+from shelfwise.llm.common import bounded_sample, give_back, held_out, schema_with, slices, stash, text_or_empty
 from shelfwise.llm.ngrams import DIMS, count_chunks, sum_vectors
 
 SAMPLE_ROWS = 6000
@@ -84,7 +84,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = S
 
     def read(batches):
         total = np.zeros(2 * DIMS + 2, np.int64)
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             texts, y, chosen = (batch.column(i).to_pylist() for i in range(3))
             for at, counts in count_chunks(texts):
                 has, out = counts > 0, []
@@ -99,6 +99,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = S
                          pa.nulls(len(out), pa.binary())], ["y", "idx", "vector"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()),
                                           pa.array([total.tobytes()], pa.binary())], ["y", "idx", "vector"])
+        give_back()
 
     seen = stash(_labelled(docs, labels, sample_rows).mapInArrow(read, "y int, idx binary, vector binary"), "labelled")
     counts = sum_vectors(seen.where("vector is not null")).select(
@@ -157,12 +158,14 @@ def score_quality(docs: DataFrame, model: DataFrame, key: list[str]) -> DataFram
     def run(batches):
         w, ratio2, a, b = shared.value
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for at, counts in count_chunks(batch.column(0).to_pylist()):
-                has = (counts > 0).astype(np.float64)
-                margin = (has @ w[:-1]) / np.maximum(np.sqrt(has @ ratio2), 1e-12) + w[-1]
-                score[at:at + len(counts)] = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], [*key, "score"])
+            for part in slices(batch):
+                score = np.zeros(part.num_rows)
+                for at, counts in count_chunks(part.column(0).to_pylist()):
+                    has = (counts > 0).astype(np.float64)
+                    margin = (has @ w[:-1]) / np.maximum(np.sqrt(has @ ratio2), 1e-12) + w[-1]
+                    score[at:at + len(counts)] = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(score)], [*key, "score"])
+        give_back()
 
     rows = docs.select(text_or_empty().alias("_text"), *key)
     return rows.mapInArrow(run, schema_with(docs, key, "score double"))

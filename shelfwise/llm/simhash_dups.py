@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import schema_with, stash, text_or_empty
+from shelfwise.llm.common import give_back, schema_with, slices, stash, text_or_empty
 from shelfwise.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -60,8 +60,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_pydict({key: batch.column(0), "fp": fps.view(np.int64)})
+            for part in slices(batch):
+                fps = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], [key, "fp"])
+        give_back()
 
     rows = docs.select(F.col(key), text_or_empty().alias("text"))
     return rows.mapInArrow(run, schema_with(docs, [key], "fp long"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfwise.llm.common import schema_with, stash, text_or_empty
+from shelfwise.llm.common import schema_with, slices, stash, text_or_empty
 from shelfwise.llm.repeats import LENGTH, anchor_ranges, bucket_at, mix, qgram_buckets, string_at
 
 BLOCK = 32
@@ -63,7 +63,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     """Round 1 rows: one per anchor of each document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
             out, held = [], 0
             for did, th, text in zip(ids, keys, texts):
@@ -141,7 +141,7 @@ def _contexts(docs: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Bytes around the open anchors, from the first match start to the end of the last match."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             out, held = [], 0
             for did, th, text, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 data = text.encode()
