@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions import scalar as S
-from shelfwise.operators import baskets as B, diagnostics as D, fusion as Fu, serving as Sv
+from shelfwise.operators import baskets as B, diagnostics as D, fusion as Fu, metrics as M, serving as Sv
 from shelfwise.operators.replay import as_of
 from shelfwise.plans import shared
 from shelfwise.plans.base import Family, cte
@@ -181,6 +181,74 @@ def r10b(spark, d):
     return out.select("scheme", "alpha", r6("composite"))
 
 
+#: Alphas of the reference; alpha* is chosen in the select month and confirmed in the next.
+ALL_ALPHAS = [0.0, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0]
+SELECT_MONTH, CONFIRM_MONTH = "2001-06", "2001-07"
+cte("msig", """
+SELECT f.scheme, p.ym, p.user_id, p.item_id, p.label, p.s_pop, round(f.sim_last3_mean, 8) AS signal FROM preds p JOIN mfeat f ON f.cut = p.cut AND f.user_id = p.user_id AND f.item_id = p.item_id
+""")
+_MSIG = "(SELECT * FROM msig WHERE scheme = '{}')"
+cte("mgroups", " UNION ALL ".join(
+    f"SELECT '{s}' AS scheme, * FROM {sweep_sql('signal', source=_MSIG.format(s), values=ALL_ALPHAS)}" for s in B.SCHEMES))
+cte("msweep", f"""
+SELECT scheme, alpha, ym, {COMP} AS composite FROM mgroups GROUP BY 1, 2, 3 UNION ALL SELECT scheme, alpha, 'all', {COMP} FROM mgroups GROUP BY 1, 2
+""")
+
+
+def _all_signals(spark, d):
+    """Candidates of all months with the last-baskets similarity of every scheme, long form."""
+    base = settle(preds(spark, d).select("ym", "cut", "user_id", "item_id", "label", "s_pop"))
+    rows = settle(as_of(B.basket_rows(retail.retail_view(spark, d)), MONTH_CUTS))
+    out = None
+    for s in B.SCHEMES:
+        f = B.basket_features(base, rows, B.item_similarity(rows, s)).select(
+            F.lit(s).alias("scheme"), *base.columns, F.round("sim_last3_mean", 8).alias("signal"))
+        out = f if out is None else out.unionByName(f)
+    return settle(out)
+
+
+def _all_sweeps(signals):
+    """Composite per scheme, alpha and month, and over all months (``all``)."""
+    ranked = Fu.add_residual(signals, "signal", ["scheme", *G])
+    alphas = F.explode(F.array(*[F.lit(a) for a in ALL_ALPHAS]))
+    rows = ranked.withColumn("alpha", alphas).withColumn("final", F.col("s_pop") + F.col("alpha") * F.col("resid_pct"))
+    groups = M.group_metrics(rows, "final", ["scheme", "alpha", *G]).persist()
+    months = M.composite(groups, by=["scheme", "alpha", "ym"])
+    every = M.composite(groups, by=["scheme", "alpha"]).withColumn("ym", F.lit("all"))
+    columns = ["scheme", "alpha", "ym", "composite"]
+    return months.select(*columns).unionByName(every.select(*columns))
+
+
+@add("r10_all_schemes_sweep", "SELECT scheme, alpha, ym, round(composite, 6) AS composite FROM msweep")
+def r10c(spark, d):
+    return _all_sweeps(_all_signals(spark, d)).select("scheme", "alpha", "ym", r6("composite"))
+
+
+@add("r10_all_schemes_ablation", f"""
+SELECT b.scheme, b.alpha, round(sa.composite, 6) AS select_anchor, round(sf.composite, 6) AS select_final, round(sf.composite - sa.composite, 6) AS select_gain,
+ round(ca.composite, 6) AS confirm_anchor, round(cf.composite, 6) AS confirm_final, round(cf.composite - ca.composite, 6) AS confirm_gain, round(k.c, 6) AS corr_with_main
+FROM (SELECT scheme, alpha FROM msweep WHERE ym = '{SELECT_MONTH}' QUALIFY row_number() OVER (PARTITION BY scheme ORDER BY round(composite, 9) DESC NULLS LAST, alpha) = 1) b
+JOIN msweep sa ON sa.scheme = b.scheme AND sa.ym = '{SELECT_MONTH}' AND sa.alpha = 0 JOIN msweep sf ON sf.scheme = b.scheme AND sf.ym = '{SELECT_MONTH}' AND sf.alpha = b.alpha
+JOIN msweep ca ON ca.scheme = b.scheme AND ca.ym = '{CONFIRM_MONTH}' AND ca.alpha = 0 JOIN msweep cf ON cf.scheme = b.scheme AND cf.ym = '{CONFIRM_MONTH}' AND cf.alpha = b.alpha
+JOIN (SELECT s.scheme, corr(m.signal, s.signal) AS c FROM msig s JOIN msig m ON m.scheme = 'cos_bigbasket' AND m.ym = s.ym AND m.user_id = s.user_id AND m.item_id = s.item_id WHERE s.signal > 0 GROUP BY 1) k ON k.scheme = b.scheme
+""")
+def r10d(spark, d):
+    """Per scheme: alpha* of the select month, gains of select and confirm month, correlation with the main scheme where positive."""
+    signals = _all_signals(spark, d)
+    sweep = settle(_all_sweeps(signals).where(F.col("ym").isin(SELECT_MONTH, CONFIRM_MONTH)))
+    chosen = sweep.where(F.col("ym") == SELECT_MONTH).groupBy("scheme").agg(
+        F.max_by("alpha", F.struct(F.round("composite", 9), -F.col("alpha"))).alias("best"))
+    at = lambda ym, a: F.max(F.when((F.col("ym") == ym) & (F.col("alpha") == a), F.col("composite")))
+    gains = sweep.join(chosen, "scheme").groupBy("scheme").agg(
+        F.first("best").alias("alpha"), at(SELECT_MONTH, 0.0).alias("select_anchor"), at(SELECT_MONTH, F.col("best")).alias("select_final"),
+        at(CONFIRM_MONTH, 0.0).alias("confirm_anchor"), at(CONFIRM_MONTH, F.col("best")).alias("confirm_final"))
+    main = signals.where("scheme = 'cos_bigbasket'").select(*G, "item_id", F.col("signal").alias("main"))
+    corr = signals.where("signal > 0").join(main, [*G, "item_id"]).groupBy("scheme").agg(F.corr("main", "signal").alias("corr_with_main"))
+    out = gains.withColumn("select_gain", F.col("select_final") - F.col("select_anchor")).withColumn(
+        "confirm_gain", F.col("confirm_final") - F.col("confirm_anchor")).join(corr, "scheme")
+    return out.select("scheme", "alpha", *[r6(c) for c in ("select_anchor", "select_final", "select_gain", "confirm_anchor", "confirm_final", "confirm_gain", "corr_with_main")])
+
+
 @add("r11_scheme_comparison", """
 SELECT * FROM (
 WITH r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY s_rec) + (count(*) OVER (PARTITION BY ym, user_id, s_rec) - 1) / 2.0 AS x FROM preds WHERE false),
