@@ -1,11 +1,11 @@
-"""SimHash near-duplicates through an inverted index over byte positions with count filtering.
+"""SimHash near-duplicates through an inverted index over byte positions keyed by the least number of matches.
 
 A 64-bit fingerprint is eight (position, byte) terms. Fingerprints at 3 or fewer differing bits differ in at most three
 bytes, so they share at least five of the eight terms: the guaranteed minimum of matches. A posting for one byte
 holds 1/256 of all fingerprints and its pairs would grow with the square of the corpus, so the count filter sits
 in the index: postings are keyed by every choice of five positions together with their bytes (56 per distinct
-fingerprint). Two fingerprints meet in a posting exactly if they share those five; inside a posting the remaining
-three bytes are tallied and the pairs that reach the minimum are verified on all 64 bits.
+fingerprint). Two fingerprints meet in a posting exactly if they share those five; the key itself
+enforces the minimum, no tally is kept per pair, and pairs of a posting are verified on all 64 bits.
 
 Only distinct fingerprints are indexed; documents with equal ones are one node. A posting gives a spanning forest
 of its links, which loses no connection: up to ``PAIRWISE`` fingerprints each pair is compared; larger ones look up,
