@@ -21,7 +21,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored frames that nothing reads any more; others are left alone."""
+    for df in frames:
+        if path := getattr(df, "stored_at", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+            df.stored_at = None
 
 
 def schema_with(docs: DataFrame, names: list[str], more: str) -> StructType:

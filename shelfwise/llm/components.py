@@ -2,7 +2,7 @@
 
 Kiveris et al. (2014). Each step is one group minimum (map-side combined) and one join on a node, so a node with very
 many links is never gathered in one row: its partition of the join is one that adaptive execution splits. Every
-few steps the edges are written to the shared folder. The number of steps grows with the logarithm of the longest chain.
+step writes its edges to the shared folder and deletes those before it. The number of steps grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import stash
+from shelfwise.llm.common import discard, stash
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current, before = stash(pairs, "cc"), None
     while True:
-        current = stash(_star(_star(current, small=False), small=True), "cc")
+        known, current = current, stash(_star(_star(current, small=False), small=True), "cc")
+        discard(known)
         state = current.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if tuple(state) == before:
             break

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import (byte_bpe, chat_format, decontaminate, hilbert_shards, language_id, quality, simhash_dups,
-                           suffix_dedup, vector_search, wavelet_tokens)
+from shelfwise.llm import (byte_bpe, chat_format, collocations, decontaminate, hard_negatives, hilbert_shards, language_id,
+                           quality, signature_join, simhash_dups, suffix_dedup, vector_search, wavelet_tokens)
 from shelfwise.llm.common import read_table
 
 #: Conversation added to the given ones: control strings inside ordinary text.
@@ -77,6 +77,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved))
+
+
+def op13_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,11 +108,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_prefix_targets": op9_prefix_targets,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_signature_join": op13_signature_join,
     "pipeline": pipeline,
 }
 
-_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
-          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, " r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
     "op6_decontaminate": f"""
@@ -141,5 +158,54 @@ SELECT conv_id, count(*) AS n_turns,
   count(*) FILTER (role = 'assistant' OR is_last) AS n_examples,
   CAST(sum(upto) FILTER (role = 'assistant' OR is_last) AS BIGINT) AS example_chars
 FROM p GROUP BY conv_id
+""",
+    "op11_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (
+  SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w JOIN range(1, 6) s(size) ON len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE size > 1 AND a >= 100),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = c.lang AND q.size > c.size
+  AND 100 * q.a >= 100 * c.a AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head,
+  array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, x.a AS l, y.a AS r, CAST(n AS BIGINT) AS n,
+  CAST((1000 * cuts.a::HUGEINT * n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail
+  JOIN t ON t.lang = cuts.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM m QUALIFY rank <= 2000
+""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+  AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+QUALIFY rank <= 3
+""",
+    "op13_signature_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM b JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * b.n >= 80 * (x.n + y.n - b.n)),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, root FROM reach JOIN e ON e.a = node),
+m AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN m ON node = doc_id LEFT JOIN c USING (doc_id)
 """,
 }
