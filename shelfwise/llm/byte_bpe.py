@@ -5,7 +5,8 @@ neighbouring pair with the merge table, takes each word's leftmost pair of least
 no pair of any word is in the table. Words longer than ``LONG_WORD`` bytes contract, in one round, their hits of the
 least rank from the left up to the first one that brings up a pair of lower rank, which is what the single steps would
 do. Long words run ``ROUNDS`` rounds per call and go on from the state they reached, so what a call gathers is
-bounded. Decoding: an ordered aggregation of the ids' bytes.
+bounded. Decoding: an ordered aggregation of the bytes of a word's ids. A text's ids and bytes are those of its words
+in order; a task keeps the words it has met, up to a bound, and starts anew beyond it.
 
 Defined cases: a null or empty text has no ids; texts of any length are encoded whole; repeated rows give
 repeated results; null ids are kept; other columns are ignored; an empty table gives no rows.
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 
 import duckdb
 import numpy as np
@@ -31,20 +31,21 @@ ROUNDS = 64
 ENCODE_ROWS, DECODE_ROWS = 400_000, 500_000
 
 _ENCODE = """
-WITH RECURSIVE s(word, pos, tok, step) AS (
-  SELECT word, pos, tok, 0::INT FROM start_rows
+WITH RECURSIVE s(word, pos, tok, hit) AS (
+  SELECT word, pos, tok, 0::BIGINT FROM start_rows
   UNION ALL (
     WITH best AS (
       SELECT a.word, min((m.rank::BIGINT << 32) | a.pos) AS hit
       FROM s a JOIN s b ON b.word = a.word AND b.pos = a.pos + 1
       JOIN merges m ON m.pair = ((a.tok::BIGINT << 32) | b.tok)
-      WHERE a.step < $rounds GROUP BY a.word)
+      WHERE a.hit IS NOT NULL GROUP BY a.word)
     SELECT s.word,
-      CASE WHEN s.pos > (hit & 4294967295) THEN s.pos - 1 ELSE s.pos END,
-      CASE WHEN s.pos = (hit & 4294967295) THEN (hit >> 32)::INT ELSE s.tok END, s.step + 1
-    FROM s JOIN best USING (word) WHERE s.pos <> (hit & 4294967295) + 1)
+      CASE WHEN s.pos > (best.hit & 4294967295) THEN s.pos - 1 ELSE s.pos END,
+      CASE WHEN s.pos = (best.hit & 4294967295) THEN (best.hit >> 32)::INT ELSE s.tok END, best.hit
+    FROM s LEFT JOIN best USING (word)
+    WHERE s.hit IS NOT NULL AND s.pos IS DISTINCT FROM (best.hit & 4294967295) + 1)
 )
-SELECT word, pos, tok, step FROM s
+SELECT word, pos, tok, 0 AS step FROM s WHERE hit IS NULL ORDER BY word, pos
 """
 _ENCODE_LONG = """
 WITH RECURSIVE s(word, pos, tok, step) AS (
@@ -78,26 +79,25 @@ WITH RECURSIVE s(word, pos, tok, step) AS (
     LEFT JOIN chosen here ON here.word = s.word AND here.pos = s.pos
     ANTI JOIN chosen gone ON gone.word = s.word AND gone.pos = s.pos - 1)
 )
-SELECT word, pos, tok, step FROM s
+SELECT s.word, s.pos, s.tok, s.step FROM s
+JOIN (SELECT word, max(step) AS step FROM s GROUP BY word) l ON l.word = s.word AND l.step = s.step
+ORDER BY s.word, s.pos
 """
 _DECODE = """
 SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM ids JOIN vocabulary USING (tok) GROUP BY doc
 """
 
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"^ |\s |  | \s| $")
-
 
 class DuckBpe:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, path: str, pattern: str, most: int = 150_000):
+    def __init__(self, path: str, pattern: str, most: int = 1_000_000):
         import regex
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.split = regex.compile(pattern).findall
-        self.most, self.words, self.inner, self.whole = most, {}, {}, {}
+        self.most, self.words = most, {}
         merges = [(left, right, rank) for piece, rank in self.ranks.items() for cut in range(1, len(piece))
                   if (left := self.ranks.get(piece[:cut])) is not None
                   and (right := self.ranks.get(piece[cut:])) is not None]
@@ -115,69 +115,63 @@ class DuckBpe:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def _contract(self, query: str, states: list[np.ndarray], rounds: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """The state each word ends in, and how many rounds it took."""
-        sizes = np.array([len(s) for s in states])
-        word = np.repeat(np.arange(len(states), dtype=np.int32), sizes)
+    def _contract(self, query: str, tokens: np.ndarray, sizes: np.ndarray, rounds: int = 0) -> tuple[np.ndarray, ...]:
+        """Tokens that the words end in, their number for each word, and the step of the last one."""
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         pos = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        self.con.register("start_rows", pa.table({"word": word, "pos": pos, "tok": np.concatenate(states)}))
-        got = self.con.execute(query, {"rounds": rounds}).fetchnumpy()
+        self.con.register("start_rows", pa.table({"word": word, "pos": pos, "tok": tokens}))
+        got = self.con.execute(query, {"rounds": rounds} if rounds else {}).fetchnumpy()
         self.con.unregister("start_rows")
-        w, p, t, step = (np.asarray(got[c]) for c in ("word", "pos", "tok", "step"))
-        last = np.zeros(len(states), step.dtype)
-        np.maximum.at(last, w, step)
-        keep = step == last[w]
-        w, p, t = w[keep], p[keep], t[keep]
-        t = t[np.argsort(w.astype(np.int64) << 32 | p)]
-        return np.split(t, np.cumsum(np.bincount(w, minlength=len(states)))[:-1]), last
+        word, tok, step = (np.asarray(got[c]) for c in ("word", "tok", "step"))
+        return tok, np.bincount(word, minlength=len(sizes)), step[-1:]
+
+    def _remember(self, words: list[str], tokens: np.ndarray, sizes: np.ndarray) -> None:
+        ids = tokens.astype("<u4").tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        parts = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        self.words.update(zip(words, zip(parts, self.decode(parts))))
 
     def _encode_words(self, words: list[str]) -> None:
-        """Put the ids of new words into ``words``."""
-        short, long, rows = [], [], 0
-        for w in words:
-            data = w.encode()
-            if (rank := self.ranks.get(data)) is not None:
-                self.words[w] = np.uint32(rank).tobytes()
-                continue
-            state = self.bytes[np.frombuffer(data, np.uint8)]
-            if len(data) > LONG_WORD:
-                long.append((w, state))
-                continue
-            short.append((w, state))
-            rows += len(data)
-            if rows >= ENCODE_ROWS:
-                self._finish(short, _ENCODE, LONG_WORD)
-                short, rows = [], 0
-        self._finish(short, _ENCODE, LONG_WORD)
-        for w in long:
-            self._finish([w], _ENCODE_LONG, ROUNDS)
-
-    def _finish(self, items: list[tuple[str, np.ndarray]], query: str, rounds: int) -> None:
-        while items:
-            states, last = self._contract(query, [s for _, s in items], rounds)
-            for (w, _), s, n in zip(items, states, last):
-                if n < rounds:
-                    self.words[w] = s.astype("<u4").tobytes()
-            items = [(w, s) for (w, _), s, n in zip(items, states, last) if n >= rounds]
+        """Put the ids of new words, and the bytes they decode to, into ``words``."""
+        encoded = [w.encode() for w in words]
+        ranks = [self.ranks.get(e) for e in encoded]
+        whole = [i for i, r in enumerate(ranks) if r is not None]
+        self._remember([words[i] for i in whole], np.array([ranks[i] for i in whole], np.int32), np.ones(len(whole), np.int64))
+        parts = [i for i, r in enumerate(ranks) if r is None]
+        short = [i for i in parts if len(encoded[i]) <= LONG_WORD]
+        for at in range(0, len(short), ENCODE_ROWS // LONG_WORD):
+            some = short[at:at + ENCODE_ROWS // LONG_WORD]
+            tokens = self.bytes[np.frombuffer(b"".join(encoded[i] for i in some), np.uint8)]
+            tokens, sizes, _ = self._contract(_ENCODE, tokens, np.array([len(encoded[i]) for i in some]))
+            self._remember([words[i] for i in some], tokens, sizes)
+        for i in parts:
+            if len(encoded[i]) > LONG_WORD:
+                tokens, step = self.bytes[np.frombuffer(encoded[i], np.uint8)], [ROUNDS]
+                while step[0] >= ROUNDS:
+                    tokens, sizes, step = self._contract(_ENCODE_LONG, tokens.astype(np.int32), np.array([len(tokens)]), ROUNDS)
+                self._remember([words[i]], tokens, sizes)
+
+    def encode_decode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of each text as little-endian unsigned 32 bits, and the bytes that they decode to.
+
+        Each match of the pattern is a word; a word seen before is neither contracted nor decoded again.
+        """
+        if len(self.words) > self.most:
+            self.words = {}
+        found = [self.split(t) for t in texts]
+        new = set().union(*found).difference(self.words)
+        if new:
+            self._encode_words(list(new))
+        known, ids, decoded = self.words.__getitem__, [], []
+        for words in found:
+            pairs = list(map(known, words))
+            ids.append(b"".join([p[0] for p in pairs]))
+            decoded.append(b"".join([p[1] for p in pairs]))
+        return ids, decoded
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32 bits.
-
-        A space between two other characters always begins a match, so a text may be cut before each of them; pieces
-        seen before are not matched again.
-        """
-        if len(self.words) + len(self.inner) + len(self.whole) > 3 * self.most:
-            self.words, self.inner, self.whole = {}, {}, {}
-        cut = [(_INNER_SPACE.split(t) if _ODD_SPACE.search(t) else t.split(" ")) if t else [] for t in texts]
-        first = {p[0] for p in cut if p}.difference(self.whole)
-        later = set().union(*(p[1:] for p in cut)).difference(self.inner)
-        found = [(p, self.whole, self.split(p)) for p in first] + [(p, self.inner, self.split(" " + p)) for p in later]
-        self._encode_words(list({w for _, _, ws in found for w in ws if w not in self.words}))
-        known = self.words.__getitem__
-        for p, memory, ws in found:
-            memory[p] = b"".join(map(known, ws))
-        inner = self.inner.__getitem__
-        return [self.whole[p[0]] + b"".join(map(inner, p[1:])) if p else b"" for p in cut]
+        """Ids of each text as little-endian unsigned 32 bits."""
+        return self.encode_decode(texts)[0]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -224,14 +218,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
         finally:
             if not reuse:
                 bpe.con.close()
-                bpe.words, bpe.inner, bpe.whole = {}, {}, {}
+                bpe.words = {}
                 give_back()
 
     def encoded(bpe, batches):
         for batch in batches:
             for part in slices(batch):
-                ids = bpe.encode(part.column(1).to_pylist())
-                decoded = bpe.decode(ids)
+                ids, decoded = bpe.encode_decode(part.column(1).to_pylist())
                 out = {
                     key: part.column(0),
                     "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
