@@ -6,6 +6,8 @@ import contextlib
 import ctypes
 import gc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -27,12 +29,52 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete stored frames that nothing reads any more; others are left alone."""
+    """Delete stored frames that nothing reads any more; others are left alone.
+
+    The driver's collector runs then, so that Spark's cleaner drops the shuffle files of the plans that wrote them.
+    """
+    gc.collect()
     for df in frames:
         if path := getattr(df, "stored_at", None):
             place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
             df.stored_at = None
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
+
+
+#: log2 of the bits of a table that is tried before a join.
+TABLE_BITS = 23
+
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """Bits that are set for the long column of ``keys``, as bytes; their number does not depend on the rows.
+
+    For dropping most rows that a join would drop, before it; it decides nothing.
+    """
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"slot": np.unique(_slot(batch.column(0).to_numpy())).astype(np.int32)})
+
+    slots = keys.mapInArrow(run, "slot int")
+    found = slots.groupBy(F.expr("slot >> 3").alias("at")).agg(
+        F.expr("bit_or(1 << (slot & 7))").cast("short").alias("bits")).toArrow()
+    bits = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
+    return bits
+
+
+def in_table(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys whose bit is set."""
+    slot = _slot(keys)
+    return np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(31)
+    return (x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - TABLE_BITS)
 
 
 def schema_with(docs: DataFrame, names: list[str], more: str) -> StructType:
@@ -48,8 +90,6 @@ def slices(batch, rows: int = 500):
 
 def give_back() -> None:
     """Return freed memory to the system; Spark keeps a task's worker process for the tasks of later stages."""
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
