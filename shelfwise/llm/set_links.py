@@ -2,10 +2,11 @@
 
 Sets are ascending 64-bit hashes. First every member of a posting is compared with its least node, which joins a group
 of near copies in as many rows as it has members. Postings that then still hold more than one group are cut into
-runs of bounded size, and each pair of runs of a posting is one block. A task reads a block's sets, passes over
-pairs that are in one group already, of too different sizes, or below the match threshold of their minimum
-signatures, compares the rest on whole sets, and gives out at most as many links as there are groups to join. Runs
-that lie in one group and postings with the same members are compared once or not at all; no posting is capped.
+runs of bounded size, and each pair of runs of a posting is one block. A task passes over pairs of a block that are in
+one group already, of too different sizes, or below the match threshold of their sketches (16 bits of each
+minimum); it reads the sets of the others' members, compares them whole, and gives out at most as many links as there
+are groups to join. Postings with the same members are compared once, runs that lie in one group not at all; no
+posting is capped.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import discard, give_back, global_order, slices, stash, text_or_empty
+from shelfwise.llm.common import (bit_table, discard, give_back, global_order, in_table, slices, stash,
+                                  text_or_empty)
 from shelfwise.llm.components import components
 
 SEED, COORDINATES, MISSED = 42, 64, 1e-10
@@ -74,30 +76,57 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sets_from(docs: DataFrame, rows: DataFrame, size: int) -> Callable[[DataFrame], DataFrame]:
-    """Gives node, hashes (the set as bytes) for a frame of nodes; ``rows``: th (xxhash64 of a text) and its node.
+def sketch(values: np.ndarray) -> bytes:
+    """16 bits of each coordinate's value: equal values stay equal."""
+    x = values * _ODD
+    return (x >> np.uint64(48)).astype(np.uint16).tobytes()
 
-    One text of a node is read again; the node is taken from that text, so texts of equal hashes are kept apart.
-    """
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                found = [shingles(t, size) for t in part.column(0).to_pylist()]
-                nodes = np.array([node_of(s) for s in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "hashes"])
-        give_back()
+def sets_from(docs: DataFrame, rows: DataFrame, key: str, size: int) -> Callable[[DataFrame], DataFrame]:
+    """Gives node, hashes (the set as bytes) for a frame of nodes; ``rows``: th (xxhash64 of key and text) and its node.
+
+    One text of a node is read again where it lies, most others being passed over by a bit table; the node is taken
+    from that text, so texts of equal hashes are kept apart.
+    """
 
     def sets_for(wanted: DataFrame) -> DataFrame:
         one = rows.select("node", "th").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th"))
-        texts = docs.select(F.xxhash64("text").alias("th"), text_or_empty().alias("text")).join(one, "th", "left_semi")
-        sets = texts.distinct().select("text").mapInArrow(run, "node long, hashes binary")
-        return sets.groupBy("node").agg(F.first("hashes").alias("hashes"))
+        bits = bit_table(one.select("th"))
+
+        def run(batches):
+            for batch in batches:
+                some = batch.take(pa.array(in_table(bits, batch.column(0).to_numpy())))
+                for part in slices(some):
+                    found = [shingles(t, size) for t in part.column(1).to_pylist()]
+                    nodes = np.array([node_of(s) for s in found], np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nodes), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "hashes"])
+            give_back()
+
+        texts = docs.select(F.xxhash64(key, "text").alias("th"), text_or_empty().alias("text"))
+        sets = texts.mapInArrow(run, "node long, hashes binary").join(wanted, "node", "left_semi")
+        return stash(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
 
     return sets_for
 
 
+def _many_matches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches match in as many coordinates as similar ones do."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 2000):
+                left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16) for c in (2, 3))
+                if part.num_rows:
+                    same = (left == right).reshape(part.num_rows, -1)
+                    yield part.select(["a", "b"]).filter(
+                        pa.array(same.sum(axis=1) >= match_threshold(percent, same.shape[1])))
+
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("left")), "a").join(
+        sketches.select(F.col("node").alias("b"), F.col("sketch").alias("right")), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that are similar on their whole sets."""
 
@@ -114,39 +143,64 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def block_links(nodes: list[int], parts: list[int], sets: list[np.ndarray], left: list[bool], right: list[bool],
-                percent: int) -> list[tuple[int, int]]:
-    """Similar pairs of a left and a right member of different parts, only those that join two groups."""
-    threshold = match_threshold(percent)
-    signed = np.stack([signature(s) for s in sets])
-    sizes, group = np.array([len(s) for s in sets]), np.unique(parts, return_inverse=True)[1]
-    root = np.arange(group.max() + 1)
-    out = []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return int(x)
-
-    other, first = np.flatnonzero(right), np.flatnonzero(left)
-    for i in first.tolist():
-        j = other[(group[other] != group[i]) & (100 * np.minimum(sizes[other], sizes[i])
-                                                >= percent * np.maximum(sizes[other], sizes[i]))]
-        if right[i]:
-            j = j[(j > i) | ~np.asarray(left)[j]]
-        j = j[(signed[j] == signed[i]).sum(axis=1) >= threshold]
-        for k in j.tolist():
-            a, b = find(group[i]), find(group[k])
-            if a != b and similar(sets[i], sets[k], percent):
-                root[max(a, b)] = min(a, b)
-                out.append((nodes[i], nodes[k]))
-    return out
-
-
-def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+class Block:
+    """Members of one or two runs of a posting, to be compared across parts."""
+
+    def __init__(self, parts: list[int], sides: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int):
+        self.group = np.unique(parts, return_inverse=True)[1]
+        self.left, self.right, self.sizes, self.percent = sides & 1 > 0, sides & 2 > 0, sizes, percent
+        self.sketches = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(parts), -1)
+        self.threshold = match_threshold(percent, self.sketches.shape[1])
+
+    def near(self):
+        """(i, members j) for each left member i: right members of other parts that may be similar."""
+        other = np.flatnonzero(self.right)
+        for i in np.flatnonzero(self.left).tolist():
+            n = self.sizes[other]
+            j = other[(self.group[other] != self.group[i])
+                      & (100 * np.minimum(n, self.sizes[i]) >= self.percent * np.maximum(n, self.sizes[i]))]
+            if self.right[i]:
+                j = j[(j > i) | ~self.left[j]]
+            j = j[(self.sketches[j] == self.sketches[i]).sum(axis=1) >= self.threshold]
+            if len(j):
+                yield i, j
+
+    def members(self) -> np.ndarray:
+        """Members of at least one such pair."""
+        some = np.zeros(len(self.group), bool)
+        for i, j in self.near():
+            some[i] = True
+            some[j] = True
+        return np.flatnonzero(some)
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Similar pairs, only those that join two groups."""
+        root, out = np.arange(self.group.max() + 1), []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return int(x)
+
+        for i, others in self.near():
+            for k in others.tolist():
+                a, b = find(self.group[i]), find(self.group[k])
+                if a != b and similar(sets[i], sets[k], self.percent):
+                    root[max(a, b)] = min(a, b)
+                    out.append((i, k))
+        return out
+
+
+def _block(rows: pa.StructArray, percent: int) -> tuple[Block, dict[str, pa.Array]]:
+    own = {rows.type.field(i).name: column for i, column in enumerate(rows.flatten())}
+    return Block(own["part"].to_pylist(), own["side"].to_numpy(), own["size"].to_numpy(), own["sketch"].to_pylist(),
+                 percent), own
+
+
+def _across(rest: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) between the parts of postings (key, node, part, size)."""
     ordered = global_order(rest.withColumn("cells", F.col("size") + ROW_CELLS), ["key", "part", "node"], "cells", "runs")
-    runs = stash(ordered.select("key", "node", "part", F.floor(F.col("before") / RUN_CELLS).alias("run")), "runs")
+    runs = stash(ordered.select("key", "node", "part", "size", F.floor(F.col("before") / RUN_CELLS).alias("run")), "runs")
     pieces = runs.groupBy("key", "run").agg(
         F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g"))
@@ -163,48 +217,66 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 F.struct(F.col("run2").alias("run"), F.lit(2).alias("side"))))
     wanted = blocks.select("key", F.struct("run", "run2").alias("block"), F.explode(sides).alias("s")).select(
         "key", "block", "s.run", "s.side")
-    members = wanted.join(runs, ["key", "run"]).join(sets, "node")
+    members = wanted.join(runs, ["key", "run"]).join(sketches, "node")
     grouped = members.groupBy("key", "block").agg(
-        F.collect_list(F.struct("node", "part", "side", "hashes")).alias("members")).select("members")
+        F.collect_list(F.struct("node", "part", "side", "size", "sketch")).alias("members"))
 
-    def run(batches):
+    def candidates(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.column(1).slice(i, 1).flatten()
+                some = _block(rows, percent)[0].members()
+                if len(some):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array([i] * len(some))), rows.take(pa.array(some))], ["block", "m"])
+
+    def confirm(batches):
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                found = batch.column(0).slice(i, 1).flatten()
-                node, part, side, hashes = (found.field(k) for k in range(4))
-                side = np.asarray(side)
-                out += block_links(node.to_pylist(), part.to_pylist(),
-                                   [np.frombuffer(x, np.uint64) for x in hashes.to_pylist()],
-                                   side & 1 > 0, side & 2 > 0, percent)
+                block, own = _block(batch.column(0).slice(i, 1).flatten(), percent)
+                nodes = own["node"].to_pylist()
+                sets = [np.frombuffer(x, np.uint64) for x in own["hashes"].to_pylist()]
+                out += [(nodes[a], nodes[b]) for a, b in block.links(sets)]
             yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in out], pa.int64()) for i, n in enumerate("ab")})
         give_back()
 
-    links = stash(grouped.mapInArrow(run, "a long, b long").distinct(), "links")
+    member = "struct<node:long,part:long,side:int,size:long,sketch:binary>"
+    named = grouped.select(F.struct("key", "block").alias("block"), "members")
+    near = stash(named.mapInArrow(
+        candidates, f"block struct<key:long,block:struct<run:long,run2:long>>, m {member}"), "near")
     discard(runs, pieces)
+    sets = sets_for(near.select("m.node").distinct())
+    whole = near.select("block", "m.*").join(sets, "node").groupBy("block").agg(
+        F.collect_list(F.struct("node", "part", "side", "size", "sketch", "hashes")).alias("members")).select("members")
+    links = stash(whole.mapInArrow(confirm, "a long, b long").distinct(), "links")
+    discard(near, sets)
     return links
 
 
-def linked(postings: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def linked(postings: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """node, component (its least node) of the nodes that a link joins.
 
-    ``postings``: key, node, size, a row for each key of a node; pairs that may be similar share a key. ``sets_for``
-    gives node and hashes for a frame of nodes.
+    ``postings``: key, node, size, a row for each key of a node; pairs that may be similar share a key. ``sketches``:
+    node and its sketch. ``sets_for`` gives node and hashes for a frame of nodes, stored.
     """
+    postings = stash(postings, "postings")
     heads = postings.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = stash(postings.join(heads, "key"), "met")
-    sets = stash(sets_for(met.select("node").distinct()), "sets")
+    discard(postings)
     first = met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = stash(confirmed(first, sets, percent), "links")
-    named = met.join(components(links), "node", "left").select(
+    near = stash(_many_matches(first, sketches, percent), "near")
+    sets = sets_for(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = stash(confirmed(near, sets, percent), "links")
+    discard(near, sets)
+    joined = components(links)
+    parts = met.join(joined, "node", "left").select(
         "key", "node", "size", F.coalesce("component", "node").alias("part"))
-    named = stash(named, "named")
+    mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    rest = stash(parts.join(mixed, "key"), "rest")
     discard(met)
-    mixed = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    rest = stash(named.join(mixed, "key"), "rest")
-    discard(named)
-    more = _across(rest, sets, percent)
-    discard(rest, sets)
+    more = _across(rest, sketches, sets_for, percent)
+    discard(rest)
     out = components(links.unionByName(more))
     discard(links, more)
     return out

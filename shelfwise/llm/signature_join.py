@@ -46,7 +46,7 @@ def counter(keys: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, words: int) -> DataFrame:
-    """key, th (hash of the text), node, size and posting keys (64 longs as bytes, null for the empty set) for every row."""
+    """key, th (hash of key and text), node, size and posting keys (64 longs as bytes, null for the empty set) for every row."""
 
     def run(batches):
         for batch in batches:
@@ -62,7 +62,7 @@ def signatures(docs: DataFrame, key: str, words: int) -> DataFrame:
                      pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], [key, "th", "node", "size", "keys"])
         give_back()
 
-    rows = docs.select(F.col(key), text_or_empty().alias("text"), F.xxhash64("text").alias("th"))
+    rows = docs.select(F.col(key), text_or_empty().alias("text"), F.xxhash64(key, "text").alias("th"))
     return rows.mapInArrow(run, schema_with(docs, [key], "th long, node long, size long, keys binary"))
 
 
@@ -103,11 +103,13 @@ def prefix_postings(nodes: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Every row's key with n_shingles, component_id (the least key reachable) and kept."""
-    rows = stash(signatures(docs, key, words), "signatures")
-    nodes = stash(rows.where("size > 0").groupBy("node").agg(
+    signed = stash(signatures(docs, key, words), "signatures")
+    rows = stash(signed.select(key, "th", "node", "size"), "rows")
+    nodes = stash(signed.where("size > 0").groupBy("node").agg(
         F.min(key).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
-
-    joined = set_links.linked(prefix_postings(nodes, percent), set_links.sets_from(docs, rows, words), percent)
+    discard(signed)
+    sketches = _sketches(nodes)
+    joined = set_links.linked(prefix_postings(nodes, percent), sketches, set_links.sets_from(docs, rows, key, words), percent)
     grouped = nodes.select("node", "least").join(joined, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -117,3 +119,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, pe
     own = F.when(F.col("size") == 0, F.col(key)).otherwise(F.col("component_id"))
     return out.select(key, F.col("size").alias("n_shingles"), own.alias("component_id"),
                       F.coalesce(F.col(key) == own, F.lit(False)).alias("kept"))
+
+
+def _sketches(nodes: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            found = [set_links.sketch(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "sketch"])
+
+    return nodes.select("node", "keys").mapInArrow(run, "node long, sketch binary")

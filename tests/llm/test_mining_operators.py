@@ -46,7 +46,9 @@ def phrases(docs, least, longest=5, top=2000, chunk_words=1 << 20):
     return sorted(tuple(r) for r in collocations.collocations(docs, least, longest, top, chunk_words).collect())
 
 
-def test_phrases_equal_brute_force(spark):
+@pytest.mark.parametrize("sent", [collocations.PHRASES_SENT, 0])
+def test_phrases_equal_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(collocations, "PHRASES_SENT", sent)
     rng = np.random.default_rng(1)
     rows = [(None, None), ("en", ""), ("und", "So on, so on"), (None, "so ON; so on\x0bso on\x0c so on")]
     for _ in range(300):
@@ -167,10 +169,16 @@ def test_block_links_are_a_forest():
     base = rng.integers(0, 1 << 60, 100, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 60, 5, dtype=np.uint64)])) for _ in range(30)]
     sets += [np.unique(rng.integers(0, 1 << 60, 100, dtype=np.uint64)) for _ in range(5)]
-    found = set_links.block_links(list(range(35)), list(range(35)), sets, [True] * 35, [True] * 35, 80)
-    assert len(found) == 29 and max(max(x) for x in found) < 30
-    assert set_links.block_links([1, 2], [7, 7], sets[:2], [True, False], [False, True], 80) == []
-    assert len(set_links.block_links([1, 2], [7, 8], sets[:2], [True, False], [False, True], 80)) == 1
+    def block(parts, sides, sets):
+        sketches = [set_links.sketch(set_links.signature(s)) for s in sets]
+        return set_links.Block(parts, np.array(sides), np.array([len(s) for s in sets]), sketches, 80)
+
+    whole = block(list(range(35)), [3] * 35, sets)
+    found = whole.links(sets)
+    assert len(found) == 29 and max(max(x) for x in found) < 30 and whole.members().tolist() == list(range(30))
+    assert block([7, 7], [1, 2], sets[:2]).links(sets[:2]) == [] and len(block([7, 7], [1, 2], sets[:2]).members()) == 0
+    assert len(block([7, 8], [1, 2], sets[:2]).links(sets[:2])) == 1
+    assert block([7, 8], [1, 1], sets[:2]).links(sets[:2]) == []
 
 
 def test_links_of_odd_rows(spark, odd_docs, no_docs):
