@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Length of the initial buckets; doubled three times it gives the 400 bytes of a match.
-Q = 50
-LENGTH = 8 * Q
-#: Consecutive q-grams of which one is the anchor: a match holds exactly this many.
-SPAN = LENGTH - Q + 1
+#: Bytes of a match, unless told otherwise. Initial buckets have an eighth of them and are doubled three times.
+LENGTH = 400
 _LOW = (1 << 24) - 1
 #: Documents are scanned in pieces of this many match starts, so positions fit the low bits.
 PIECE = 1 << 23
@@ -41,8 +38,13 @@ def mix(a: np.ndarray, b) -> np.ndarray:
     return x ^ (x >> np.uint64(30))
 
 
-def qgram_buckets(data: np.ndarray) -> np.ndarray:
-    """Bucket identifier of the Q bytes from each position."""
+def span_of(length: int) -> int:
+    """Consecutive q-grams of which one is the anchor: a match holds exactly this many."""
+    return length - length // 8 + 1
+
+
+def qgram_buckets(data: np.ndarray, q: int) -> np.ndarray:
+    """Bucket identifier of the ``q`` bytes from each position."""
     global _POW, _INV
     n = len(data)
     if len(_POW) < n:
@@ -50,47 +52,47 @@ def qgram_buckets(data: np.ndarray) -> np.ndarray:
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[data] * _POW[:n], out=sums[1:])
-    x = (sums[Q:] - sums[:-Q]) * _INV[:n - Q + 1]
+    x = (sums[q:] - sums[:-q]) * _INV[:n - q + 1]
     x ^= x >> np.uint64(31)
     x *= _M3
     x ^= x >> np.uint64(29)
     return x
 
 
-def bucket_at(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Identifiers of the ``depth`` bytes (Q times a power of two) from the given positions: the pair of identifiers of
-    the two halves, recursively."""
-    if depth == Q:
+def bucket_at(ids: np.ndarray, at: np.ndarray, depth: int, q: int) -> np.ndarray:
+    """Identifiers of the ``depth`` bytes (``q`` times a power of two) from the given positions: the pair of identifiers
+    of the two halves, recursively."""
+    if depth == q:
         return ids[at]
     half = depth // 2
-    return mix(bucket_at(ids, at, half), bucket_at(ids, at + half, half))
+    return mix(bucket_at(ids, at, half, q), bucket_at(ids, at + half, half, q))
 
 
-def string_at(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Identifiers of strings of Q to 2 * LENGTH bytes: the deepest bucket at the start and the one that ends with them."""
+def string_at(ids: np.ndarray, start: np.ndarray, size: np.ndarray, q: int) -> np.ndarray:
+    """Identifiers of strings of q to 16 * q bytes: the deepest bucket at the start and the one that ends with them."""
     out = np.empty(len(start), np.uint64)
-    depth = np.where(size >= 8 * Q, 8 * Q, np.where(size >= 4 * Q, 4 * Q, np.where(size >= 2 * Q, 2 * Q, Q)))
-    for d in (Q, 2 * Q, 4 * Q, 8 * Q):
+    depth = np.where(size >= 8 * q, 8 * q, np.where(size >= 4 * q, 4 * q, np.where(size >= 2 * q, 2 * q, q)))
+    for d in (q, 2 * q, 4 * q, 8 * q):
         some = np.flatnonzero(depth == d)
         if len(some):
             a, n = start[some], size[some]
-            out[some] = mix(mix(bucket_at(ids, a, d), n.astype(np.uint64)), bucket_at(ids, a + n - d, d))
+            out[some] = mix(mix(bucket_at(ids, a, d, q), n.astype(np.uint64)), bucket_at(ids, a + n - d, d, q))
     return out
 
 
-def anchor_ranges(ids: np.ndarray, n_starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, lo, hi: match starts lo..hi whose least q-gram (of SPAN, rightmost on ties) is at ``anchor``."""
+def anchor_ranges(ids: np.ndarray, n_starts: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """anchor, lo, hi: match starts lo..hi whose least q-gram (of ``span``, rightmost on ties) is at ``anchor``."""
     out = []
     for at in range(0, n_starts, PIECE):
         stop = min(n_starts, at + PIECE)
-        part = ids[at:stop + SPAN - 1]
+        part = ids[at:stop + span - 1]
         key = (part & ~np.uint64(_LOW)) | (np.uint64(_LOW) - np.arange(len(part), dtype=np.uint64))
         width = 1
-        while 2 * width <= SPAN:
+        while 2 * width <= span:
             key = np.minimum(key[:-width], key[width:])
             width *= 2
-        if width < SPAN:
-            key = np.minimum(key[:len(key) - (SPAN - width)], key[SPAN - width:])
+        if width < span:
+            key = np.minimum(key[:len(key) - (span - width)], key[span - width:])
         edge = np.flatnonzero(key[1:] != key[:-1])
         lo = np.concatenate([[0], edge + 1])
         hi = np.concatenate([edge, [len(key) - 1]])

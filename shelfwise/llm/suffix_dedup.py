@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfwise.llm.common import schema_with, slices, stash, text_or_empty
-from shelfwise.llm.repeats import LENGTH, anchor_ranges, bucket_at, mix, qgram_buckets, string_at
+from shelfwise.llm.common import discard, schema_with, slices, stash, text_or_empty
+from shelfwise.llm.repeats import LENGTH, anchor_ranges, bucket_at, mix, qgram_buckets, span_of, string_at
 
 BLOCK = 32
 NO_ID = -(1 << 63)
@@ -59,8 +59,9 @@ ROWS = "did long, th long, a int, lo int, hi int, hq long, bucket long, refined
 _NAMES = ["did", "th", "a", "lo", "hi", "hq", "bucket", "refined"]
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Round 1 rows: one per anchor of each document."""
+    gram = length // 8
 
     def run(batches):
         for batch in (part for batch in batches for part in slices(batch)):
@@ -68,11 +69,12 @@ def anchors(docs: DataFrame) -> DataFrame:
             out, held = [], 0
             for did, th, text in zip(ids, keys, texts):
                 data = np.frombuffer(text.encode(), np.uint8)
-                if len(data) < LENGTH:
+                if len(data) < length:
                     continue
-                q = qgram_buckets(data)
-                a, lo, hi = anchor_ranges(q, len(data) - LENGTH + 1)
-                whole = mix(mix(mix(bucket_at(q, lo, LENGTH), bucket_at(q, hi, LENGTH)), _u(a - lo)), _u(hi - lo))
+                q = qgram_buckets(data, gram)
+                a, lo, hi = anchor_ranges(q, len(data) - length + 1, span_of(length))
+                whole = mix(mix(mix(bucket_at(q, lo, length, gram), bucket_at(q, hi, length, gram)), _u(a - lo)),
+                            _u(hi - lo))
                 n = len(a)
                 out.append((np.full(n, did), np.full(n, th), a, lo, hi, q[a], q[a], whole))
                 held += n
@@ -85,8 +87,9 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ROWS)
 
 
-def blocks(contexts: DataFrame, size: int) -> DataFrame:
+def blocks(contexts: DataFrame, size: int, length: int = LENGTH) -> DataFrame:
     """Rows of the next round: the offsets in ``ranges`` of each anchor cut into blocks of the given size."""
+    gram = length // 8
 
     def run(batches):
         for batch in batches:
@@ -96,7 +99,7 @@ def blocks(contexts: DataFrame, size: int) -> DataFrame:
             if not len(ends):
                 continue
             start = np.concatenate([[0], ends[:-1]])
-            q = qgram_buckets(np.frombuffer(b"".join(b.as_py() for b in text), np.uint8))
+            q = qgram_buckets(np.frombuffer(b"".join(b.as_py() for b in text), np.uint8), gram)
             flat = ranges.flatten()
             p1, p2 = (np.asarray(flat.field(i)).astype(np.int64) for i in range(2))
             row = np.repeat(np.arange(len(ends)), ranges.value_lengths().to_numpy(zero_copy_only=False))
@@ -108,9 +111,9 @@ def blocks(contexts: DataFrame, size: int) -> DataFrame:
             b1 = np.maximum(p1[part], a[at] - k * size - size + 1)
             b2 = np.minimum(p2[part], a[at] - k * size)
             shift = start[at] - lo[at]
-            common = string_at(q, a[at] - k * size + shift, np.full(len(at), LENGTH - size + 1))
+            common = string_at(q, a[at] - k * size + shift, np.full(len(at), length - size + 1), gram)
             bucket = mix(mix(common, _u(k)), hq[at].view(np.uint64))
-            cover = mix(mix(mix(bucket_at(q, b1 + shift, LENGTH), bucket_at(q, b2 + shift, LENGTH)),
+            cover = mix(mix(mix(bucket_at(q, b1 + shift, length, gram), bucket_at(q, b2 + shift, length, gram)),
                             _u(a[at] - b1)), _u(b2 - b1))
             for i in range(0, len(at), 200_000):
                 s = slice(i, i + 200_000)
@@ -137,7 +140,7 @@ def refine(rows: DataFrame) -> DataFrame:
     return stash(joined.withColumn("onward", onward).drop("bucket", "refined", "row", "witness"), "refined")
 
 
-def _contexts(docs: DataFrame, open_rows: DataFrame) -> DataFrame:
+def _contexts(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFrame:
     """Bytes around the open anchors, from the first match start to the end of the last match."""
 
     def run(batches):
@@ -145,7 +148,7 @@ def _contexts(docs: DataFrame, open_rows: DataFrame) -> DataFrame:
             out, held = [], 0
             for did, th, text, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 data = text.encode()
-                out += [(did, th, f["a"], f["lo"], f["hi"], f["hq"], data[f["lo"]:f["hi"] + LENGTH]) for f in found]
+                out += [(did, th, f["a"], f["lo"], f["hi"], f["hq"], data[f["lo"]:f["hi"] + length]) for f in found]
                 held += len(found)
                 if held > 20_000:
                     yield rows_of(out)
@@ -159,23 +162,33 @@ def _contexts(docs: DataFrame, open_rows: DataFrame) -> DataFrame:
     def rows_of(out):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    wanted = open_rows.groupBy("did", "th").agg(F.collect_list(F.struct("a", "lo", "hi", "hq")).alias("found"))
+    wanted = open_rows.groupBy("did", "th").agg(F.collect_set(F.struct("a", "lo", "hi", "hq")).alias("found"))
     return stash(docs.join(wanted, ["did", "th"]).select("did", "th", "text", "found").mapInArrow(
         run, "did long, th long, a int, lo int, hi int, hq long, context binary"), "contexts")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """did, th, start, end: byte spans covered by a repeated string (they may overlap)."""
-    whole = refine(stash(anchors(docs), "anchors"))
-    contexts = _contexts(docs, whole.where("onward"))
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """did, th, start, end: byte spans covered by a repeated string of ``length`` bytes (they may overlap).
+
+    ``length`` is a multiple of eight, and at least 64. Rows that repeat id and text have their spans once.
+    """
+    first = stash(anchors(docs, length), "anchors")
+    whole = refine(first)
+    discard(first)
+    contexts = _contexts(docs, whole.where("onward"), length)
     one = contexts.withColumn("ranges", F.array(F.struct(F.col("lo").alias("p1"), F.col("hi").alias("p2"))))
-    coarse = refine(stash(blocks(one, BLOCK), "blocks"))
+    parts = stash(blocks(one, BLOCK, length), "blocks")
+    coarse = refine(parts)
+    discard(parts)
     left = coarse.where("onward").groupBy("did", "th", "a").agg(
-        F.collect_list(F.struct(F.col("lo").alias("p1"), F.col("hi").alias("p2"))).alias("ranges"))
-    fine = refine(stash(blocks(contexts.join(left, ["did", "th", "a"]), 1), "starts"))
-    found = [r.where("twice").select("did", "th", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
+        F.collect_set(F.struct(F.col("lo").alias("p1"), F.col("hi").alias("p2"))).alias("ranges"))
+    starts = stash(blocks(contexts.join(left, ["did", "th", "a"]), 1, length), "starts")
+    fine = refine(starts)
+    found = [r.where("twice").select("did", "th", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
              for r in (whole, coarse, fine)]
-    return found[0].union(found[1]).union(found[2])
+    spans = stash(found[0].union(found[1]).union(found[2]).distinct(), "spans")
+    discard(contexts, starts, whole, coarse, fine)
+    return spans
 
 
 def merged(spans: list[dict]) -> np.ndarray:
@@ -211,13 +224,26 @@ def whole_characters(data: bytes, spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
+def of_words(data: bytes, spans: np.ndarray, least: int) -> np.ndarray:
+    """The spans that hold at least so many whole words (between ASCII white space)."""
+    out = []
+    for a, b in spans.tolist():
+        words = data[max(0, a - 1):b + 1].split()
+        n = len(words) - (a > 0 and not data[a - 1:a].isspace()) - (b < len(data) and not data[b:b + 1].isspace())
+        if n >= least:
+            out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool = False, length: int = LENGTH,
+                   least_words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row, with the columns named in ``carry``.
 
-    ``with_text`` adds ``kept_text``: the text without the spans, each shrunk to whole characters.
+    ``length``: bytes of a repeated string. ``least_words``: spans of fewer whole words stay. ``with_text`` adds
+    ``kept_text``: the text without the spans, each shrunk to whole characters.
     """
     carry = carry or []
-    spans = repeated_spans(keyed(docs)).groupBy("did", "th").agg(
+    spans = repeated_spans(keyed(docs), length).groupBy("did", "th").agg(
         F.collect_list(F.struct("start", "end")).alias("spans"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"),
                        F.xxhash64("doc_id", "text").alias("th"), text_or_empty().alias("_text"),
@@ -233,6 +259,8 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: b
                 out = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text)}
                 for text, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data, cut = text.encode(), merged(found or [])
+                    if least_words:
+                        cut = of_words(data, cut, least_words)
                     out["n_bytes"].append(len(data))
                     out["n_removed"].append(int((cut[:, 1] - cut[:, 0]).sum()))
                     out["n_spans"].append(len(cut))

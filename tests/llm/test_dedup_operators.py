@@ -121,6 +121,34 @@ def test_repeats_planted(spark):
         c[100:499], "x" * 1000, "ab" * 700, None, "", noise(399), a[1:401], "é" * 300, c[:400], noise(60) + c[240:] + a[30:]])
 
 
+def test_repeated_passages_of_fifty_words(spark):
+    """The stage's own length: passages from 50 words on go, wherever they start and end, shorter ones stay."""
+    rng = np.random.default_rng(8)
+
+    def words(n, least=2, most=9):
+        return " ".join("".join(rng.choice(list("abcdefghijklmnopé"), rng.integers(least, most))) for _ in range(n))
+
+    passages = {n: words(n) for n in (40, 48, 51, 60, 70)} | {52: words(52, 3, 4), 53: words(53, 4, 5)}
+    texts = [f"{words(30)} {p} {words(25)}" for p in passages.values() for _ in range(2)]
+    texts += [words(30) + "x" + passages[70] + "y" + words(30), passages[70], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").orderBy("doc_id").collect()]
+    for i, (n, p) in enumerate(passages.items()):
+        for at in (2 * i, 2 * i + 1):
+            assert (p in got[at]) == (n < 50) and (n < 50) == (got[at] == texts[at])
+            assert n < 50 or len(got[at].split()) >= 54
+    assert len(got[-4].split()) <= 63 and got[-3] == "" and got[-2:] == [None, ""]
+
+
+def test_rows_that_repeat_id_and_text(spark):
+    text = "".join(np.random.default_rng(9).choice(list("abcdefgh "), 900))
+    rows = [(None, text)] * 30 + [(1, text[:600])] * 3 + [(2, "short")] * 2
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_removed, r.n_spans) for r in got) == {(None, 900, 1): 30, (1, 600, 1): 3, (2, 0, 0): 2}
+    spans = suffix_dedup.repeated_spans(suffix_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert spans.count() == spans.distinct().count()
+
+
 def test_repeats_query(spark, sf_dir):
     docs = queries.read_table(spark, sf_dir, "documents").orderBy("doc_id").collect()
     got = queries.op5_suffix_dedup(spark, sf_dir).orderBy("doc_id").collect()
@@ -201,7 +229,10 @@ def test_pipeline_stages(spark, sf_dir, odd_docs):
     want = {r.doc_id for r in quality.rate(docs, labels).where("predicted = 1").collect()}
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == names
     one = corpus_pipeline.stash(dedup(spark, kept, sf_dir), "t")
-    groups = {r.component_id for r in simhash_dups.near_duplicates(kept.select("doc_id", "text")).collect()}
+    from test_similar_texts import brute_groups
+
+    rows = kept.orderBy("doc_id").collect()
+    groups = {rows[g].doc_id for g in brute_groups([r.text for r in rows])}
     assert sorted(r.doc_id for r in one.collect()) == sorted(groups) and one.columns == names
     short = corpus_pipeline.stash(cut(spark, one, sf_dir), "t")
     assert short.count() == one.count() and short.columns == names
