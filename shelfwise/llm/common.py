@@ -29,18 +29,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete stored frames that nothing reads any more; others are left alone.
-
-    The driver's collector runs then, so that Spark's cleaner drops the shuffle files of the plans that wrote them.
-    """
-    gc.collect()
+    """Delete stored frames that nothing reads any more; others are left alone."""
     for df in frames:
         if path := getattr(df, "stored_at", None):
             place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
             df.stored_at = None
-    if frames:
-        frames[0].sparkSession._jvm.System.gc()
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Run the collectors of the driver, so that Spark's cleaner drops the shuffle files of plans nobody holds."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 #: log2 of the bits of a table that is tried before a join.

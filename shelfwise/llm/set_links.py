@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import (bit_table, discard, give_back, global_order, in_table, slices, stash,
+from shelfwise.llm.common import (bit_table, discard, drop_shuffles, give_back, global_order, in_table, slices, stash,
                                   text_or_empty)
 from shelfwise.llm.components import components
 
@@ -174,20 +174,28 @@ class Block:
         return np.flatnonzero(some)
 
     def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        """Similar pairs, only those that join two groups."""
-        root, out = np.arange(self.group.max() + 1), []
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return int(x)
+        """Similar pairs, only those that join two groups.
 
+        A member's hashes are marked, and the marks in the sets of its candidates are added up, all at once.
+        """
+        flat, sizes = np.unique(np.concatenate(sets), return_inverse=True)[1], np.array([len(s) for s in sets])
+        starts, marks, out = np.cumsum(sizes) - sizes, np.zeros(sizes.sum(), np.int64), []
         for i, others in self.near():
-            for k in others.tolist():
-                a, b = find(self.group[i]), find(self.group[k])
-                if a != b and similar(sets[i], sets[k], self.percent):
-                    root[max(a, b)] = min(a, b)
-                    out.append((i, k))
+            own = flat[starts[i]:starts[i] + sizes[i]]
+            marks[own] = 1
+            while len(others := others[self.group[others] != self.group[i]]):
+                some = others[:64]
+                n = sizes[some]
+                ends = np.cumsum(n)
+                at = np.arange(ends[-1]) + np.repeat(starts[some] - ends + n, n)
+                both = np.add.reduceat(marks[flat[at]], ends - n)
+                hit = some[100 * both >= self.percent * (n + sizes[i] - both)]
+                for k in hit.tolist():
+                    if self.group[k] != self.group[i]:
+                        self.group[self.group == self.group[k]] = self.group[i]
+                        out.append((i, k))
+                others = others[64:]
+            marks[own] = 0
         return out
 
 
@@ -246,6 +254,7 @@ def _across(rest: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame]
     near = stash(named.mapInArrow(
         candidates, f"block struct<key:long,block:struct<run:long,run2:long>>, m {member}"), "near")
     discard(runs, pieces)
+    drop_shuffles(near.sparkSession)
     sets = sets_for(near.select("m.node").distinct())
     whole = near.select("block", "m.*").join(sets, "node").groupBy("block").agg(
         F.collect_list(F.struct("node", "part", "side", "size", "sketch", "hashes")).alias("members")).select("members")
@@ -275,6 +284,7 @@ def linked(postings: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFra
     mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     rest = stash(parts.join(mixed, "key"), "rest")
     discard(met)
+    drop_shuffles(rest.sparkSession)
     more = _across(rest, sketches, sets_for, percent)
     discard(rest)
     out = components(links.unionByName(more))
