@@ -3,8 +3,8 @@
 Sets are ascending 64-bit hashes. First every member of a posting is compared with its least node, which joins a group
 of near copies in as many rows as it has members. Postings that then still hold more than one group are cut into
 runs of bounded size, and each pair of runs of a posting is one block. A task passes over pairs of a block that are in
-one group already, of too different sizes, or below the match threshold of their sketches (16 bits of each
-minimum); it reads the sets of the others' members, compares them whole, and gives out at most as many links as there
+one group already, of too different sizes, below the match threshold of their sketches (32 bits of each
+minimum), or to be compared in another posting that they share; it reads the sets of the others' members, compares them whole, and gives out at most as many links as there
 are groups to join. Postings with the same members are compared once, runs that lie in one group not at all; no
 posting is capped.
 """
@@ -77,9 +77,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """16 bits of each coordinate's value: equal values stay equal."""
+    """32 bits of each coordinate's value: equal values stay equal."""
     x = values * _ODD
-    return (x >> np.uint64(48)).astype(np.uint16).tobytes()
+    return (x >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
 def sets_from(docs: DataFrame, rows: DataFrame, key: str, size: int) -> Callable[[DataFrame], DataFrame]:
@@ -116,7 +116,7 @@ def _many_matches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFr
     def run(batches):
         for batch in batches:
             for part in slices(batch, 2000):
-                left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16) for c in (2, 3))
+                left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32) for c in (2, 3))
                 if part.num_rows:
                     same = (left == right).reshape(part.num_rows, -1)
                     yield part.select(["a", "b"]).filter(
@@ -144,16 +144,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 class Block:
-    """Members of one or two runs of a posting, to be compared across parts."""
+    """Members of one or two runs of a posting, to be compared across parts.
 
-    def __init__(self, parts: list[int], sides: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int):
+    Postings have a place, and a posting at place p stands for coordinates p * width to (p + 1) * width of the sketch.
+    ``posted`` has a bit for each place at which a member is posted. A pair belongs to the first place at which both
+    are posted and agree, so it is compared in one posting of all that it shares.
+    """
+
+    def __init__(self, place: int, parts: list[int], sides: np.ndarray, sizes: np.ndarray, sketches: list[bytes],
+                 posted: np.ndarray, percent: int, width: int = 1):
         self.group = np.unique(parts, return_inverse=True)[1]
         self.left, self.right, self.sizes, self.percent = sides & 1 > 0, sides & 2 > 0, sizes, percent
-        self.sketches = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(parts), -1)
+        self.sketches = np.frombuffer(b"".join(sketches), np.uint32).reshape(len(parts), -1)
         self.threshold = match_threshold(percent, self.sketches.shape[1])
+        bits = np.unpackbits(posted.astype("<i8").view(np.uint8).reshape(len(parts), 8), axis=1, bitorder="little")
+        self.place, self.width, self.posted = place, width, bits[:, :self.sketches.shape[1] // width] > 0
 
     def near(self):
-        """(i, members j) for each left member i: right members of other parts that may be similar."""
+        """(i, members j) for each left member i: right members of other parts that may be similar and belong here."""
         other = np.flatnonzero(self.right)
         for i in np.flatnonzero(self.left).tolist():
             n = self.sizes[other]
@@ -161,7 +169,11 @@ class Block:
                       & (100 * np.minimum(n, self.sizes[i]) >= self.percent * np.maximum(n, self.sizes[i]))]
             if self.right[i]:
                 j = j[(j > i) | ~self.left[j]]
-            j = j[(self.sketches[j] == self.sketches[i]).sum(axis=1) >= self.threshold]
+            same = self.sketches[j] == self.sketches[i]
+            many = np.flatnonzero(same.sum(axis=1) >= self.threshold)
+            j, same = j[many], same[many]
+            both = same.reshape(len(j), self.posted.shape[1], self.width).all(axis=2) & self.posted[j] & self.posted[i]
+            j = j[both[:, self.place] & ~both[:, :self.place].any(axis=1)]
             if len(j):
                 yield i, j
 
@@ -199,41 +211,43 @@ class Block:
         return out
 
 
-def _block(rows: pa.StructArray, percent: int) -> tuple[Block, dict[str, pa.Array]]:
+def _block(place: int, rows: pa.StructArray, percent: int, width: int) -> tuple[Block, dict[str, pa.Array]]:
     own = {rows.type.field(i).name: column for i, column in enumerate(rows.flatten())}
-    return Block(own["part"].to_pylist(), own["side"].to_numpy(), own["size"].to_numpy(), own["sketch"].to_pylist(),
-                 percent), own
+    return Block(place, own["part"].to_pylist(), own["side"].to_numpy(), own["size"].to_numpy(),
+                 own["sketch"].to_pylist(), own["posted"].to_numpy(), percent, width), own
 
 
-def _across(rest: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Links (a, b) between the parts of postings (key, node, part, size)."""
+def _across(rest: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int,
+            width: int) -> DataFrame:
+    """Links (a, b) between the parts of postings (key, place, node, part, size)."""
     ordered = global_order(rest.withColumn("cells", F.col("size") + ROW_CELLS), ["key", "part", "node"], "cells", "runs")
-    runs = stash(ordered.select("key", "node", "part", "size", F.floor(F.col("before") / RUN_CELLS).alias("run")), "runs")
+    runs = stash(ordered.select("key", "place", "node", "part", "size", F.floor(F.col("before") / RUN_CELLS).alias("run")), "runs")
     pieces = runs.groupBy("key", "run").agg(
-        F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n"),
+        F.min("place").alias("place"), F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g"))
     one = pieces.groupBy("key").agg(F.count("*").alias("runs"))
     pieces = stash(pieces.join(one, "key"), "pieces")
-    small = pieces.where("runs = 1").groupBy("h", "g", "n").agg(F.min(F.struct("key", "run")).alias("p"))
-    large = pieces.where("runs > 1").select("key", "run", "x", "y")
-    pairs = large.join(large.toDF("key", "run2", "x2", "y2"), "key").where(
+    small = pieces.where("runs = 1").groupBy("h", "g", "n").agg(F.min(F.struct("place", "key", "run")).alias("p"))
+    large = pieces.where("runs > 1").select("key", "place", "run", "x", "y")
+    pairs = large.join(large.drop("place").toDF("key", "run2", "x2", "y2"), "key").where(
         "run <= run2 AND NOT (x = y AND x = x2 AND x2 = y2)")
-    blocks = small.select("p.key", F.col("p.run").alias("run"), F.col("p.run").alias("run2")).union(
-        pairs.select("key", "run", "run2"))
+    blocks = small.select("p.key", "p.place", F.col("p.run").alias("run"), F.col("p.run").alias("run2")).union(
+        pairs.select("key", "place", "run", "run2"))
     sides = F.when(F.col("run") == F.col("run2"), F.array(F.struct(F.col("run").alias("run"), F.lit(3).alias("side")))).otherwise(
         F.array(F.struct(F.col("run").alias("run"), F.lit(1).alias("side")),
                 F.struct(F.col("run2").alias("run"), F.lit(2).alias("side"))))
-    wanted = blocks.select("key", F.struct("run", "run2").alias("block"), F.explode(sides).alias("s")).select(
+    wanted = blocks.select("key", F.struct("key", "place", "run", "run2").alias("block"), F.explode(sides).alias("s")).select(
         "key", "block", "s.run", "s.side")
-    members = wanted.join(runs, ["key", "run"]).join(sketches, "node")
-    grouped = members.groupBy("key", "block").agg(
-        F.collect_list(F.struct("node", "part", "side", "size", "sketch")).alias("members"))
+    members = wanted.join(runs.drop("place"), ["key", "run"]).join(sketches, "node")
+    grouped = members.groupBy("block").agg(
+        F.collect_list(F.struct("node", "part", "side", "size", "sketch", "posted")).alias("members"))
 
     def candidates(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = batch.column(1).slice(i, 1).flatten()
-                some = _block(rows, percent)[0].members()
+                place = batch.column(0).field("place")[i].as_py()
+                some = _block(place, rows, percent, width)[0].members()
                 if len(some):
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array([i] * len(some))), rows.take(pa.array(some))], ["block", "m"])
@@ -242,32 +256,34 @@ def _across(rest: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame]
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                block, own = _block(batch.column(0).slice(i, 1).flatten(), percent)
+                place = batch.column(0).field("place")[i].as_py()
+                block, own = _block(place, batch.column(1).slice(i, 1).flatten(), percent, width)
                 nodes = own["node"].to_pylist()
                 sets = [np.frombuffer(x, np.uint64) for x in own["hashes"].to_pylist()]
                 out += [(nodes[a], nodes[b]) for a, b in block.links(sets)]
             yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in out], pa.int64()) for i, n in enumerate("ab")})
         give_back()
 
-    member = "struct<node:long,part:long,side:int,size:long,sketch:binary>"
-    named = grouped.select(F.struct("key", "block").alias("block"), "members")
-    near = stash(named.mapInArrow(
-        candidates, f"block struct<key:long,block:struct<run:long,run2:long>>, m {member}"), "near")
+    member = "struct<node:long,part:long,side:int,size:long,sketch:binary,posted:long>"
+    near = stash(grouped.mapInArrow(
+        candidates, f"block struct<key:long,place:int,run:long,run2:long>, m {member}"), "near")
     discard(runs, pieces)
     drop_shuffles(near.sparkSession)
     sets = sets_for(near.select("m.node").distinct())
     whole = near.select("block", "m.*").join(sets, "node").groupBy("block").agg(
-        F.collect_list(F.struct("node", "part", "side", "size", "sketch", "hashes")).alias("members")).select("members")
+        F.collect_list(F.struct("node", "part", "side", "size", "sketch", "posted", "hashes")).alias("members"))
     links = stash(whole.mapInArrow(confirm, "a long, b long").distinct(), "links")
     discard(near, sets)
     return links
 
 
-def linked(postings: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def linked(postings: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int,
+           width: int = 1) -> DataFrame:
     """node, component (its least node) of the nodes that a link joins.
 
-    ``postings``: key, node, size, a row for each key of a node; pairs that may be similar share a key. ``sketches``:
-    node and its sketch. ``sets_for`` gives node and hashes for a frame of nodes, stored.
+    ``postings``: key, place, node, size, a row for each key of a node; pairs that may be similar share a key.
+    ``sketches``: node, its sketch and the places of its postings (``Block``). ``sets_for`` gives node and hashes for a
+    frame of nodes, stored.
     """
     postings = stash(postings, "postings")
     heads = postings.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -280,12 +296,12 @@ def linked(postings: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFra
     discard(near, sets)
     joined = components(links)
     parts = met.join(joined, "node", "left").select(
-        "key", "node", "size", F.coalesce("component", "node").alias("part"))
+        "key", "place", "node", "size", F.coalesce("component", "node").alias("part"))
     mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     rest = stash(parts.join(mixed, "key"), "rest")
     discard(met)
     drop_shuffles(rest.sparkSession)
-    more = _across(rest, sketches, sets_for, percent)
+    more = _across(rest, sketches, sets_for, percent, width)
     discard(rest)
     out = components(links.unionByName(more))
     discard(links, more)

@@ -82,23 +82,44 @@ def posting_sizes(nodes: DataFrame) -> np.ndarray:
     return np.log2(np.maximum(counts, 1)).astype(np.uint8)
 
 
-def prefix_postings(nodes: DataFrame, percent: int) -> DataFrame:
-    """key, node, size of the postings that a node's rarest pairs put it in."""
-    classes = posting_sizes(nodes)
+def prefix_places(keys: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """Coordinates of the pairs that a node is posted under: the first ones in the order of size class and key."""
     prefix = set_links.COORDINATES - set_links.match_threshold(percent) + 1
+    return np.lexsort((keys, classes[counter(keys)]), axis=1)[:, :prefix]
+
+
+def prefix_postings(nodes: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
+    """key, place, node, size of the postings that a node's rarest pairs put it in."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 2000):
-                if not part.num_rows:
-                    continue
-                keys = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64).reshape(part.num_rows, -1)
-                order = np.lexsort((keys, classes[counter(keys)]), axis=1)[:, :prefix]
-                first = np.take_along_axis(keys, order, axis=1)
-                node, size = (np.repeat(part.column(i).to_numpy(), first.shape[1]) for i in range(2))
-                yield pa.RecordBatch.from_pydict({"key": first.reshape(-1).view(np.int64), "node": node, "size": size})
+                if part.num_rows:
+                    keys = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64).reshape(part.num_rows, -1)
+                    places = prefix_places(keys, classes, percent)
+                    node, size = (np.repeat(part.column(i).to_numpy(), places.shape[1]) for i in range(2))
+                    yield pa.RecordBatch.from_pydict({
+                        "key": np.take_along_axis(keys, places, axis=1).reshape(-1).view(np.int64),
+                        "place": places.reshape(-1).astype(np.int32), "node": node, "size": size})
+
+    return nodes.select("node", "size", "keys").mapInArrow(run, "key long, place int, node long, size long")
 
-    return nodes.select("node", "size", "keys").mapInArrow(run, "key long, node long, size long")
+
+def sketches(nodes: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
+    """node, sketch, posted (a bit for each coordinate that the node is posted under)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 2000):
+                if part.num_rows:
+                    keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(part.num_rows, -1)
+                    places = prefix_places(keys, classes, percent).astype(np.uint64)
+                    posted = np.bitwise_or.reduce(np.uint64(1) << places, axis=1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array([set_links.sketch(k) for k in keys], pa.binary()), pa.array(posted)],
+                        ["node", "sketch", "posted"])
+
+    return nodes.select("node", "keys").mapInArrow(run, "node long, sketch binary, posted long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -108,8 +129,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, pe
     nodes = stash(signed.where("size > 0").groupBy("node").agg(
         F.min(key).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
     discard(signed)
-    sketches = _sketches(nodes)
-    joined = set_links.linked(prefix_postings(nodes, percent), sketches, set_links.sets_from(docs, rows, key, words), percent)
+    classes = posting_sizes(nodes)
+    joined = set_links.linked(prefix_postings(nodes, classes, percent), sketches(nodes, classes, percent),
+                              set_links.sets_from(docs, rows, key, words), percent)
     grouped = nodes.select("node", "least").join(joined, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -120,11 +142,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS, pe
     return out.select(key, F.col("size").alias("n_shingles"), own.alias("component_id"),
                       F.coalesce(F.col(key) == own, F.lit(False)).alias("kept"))
 
-
-def _sketches(nodes: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            found = [set_links.sketch(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "sketch"])
-
-    return nodes.select("node", "keys").mapInArrow(run, "node long, sketch binary")

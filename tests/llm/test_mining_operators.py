@@ -46,8 +46,9 @@ def phrases(docs, least, longest=5, top=2000, chunk_words=1 << 20):
     return sorted(tuple(r) for r in collocations.collocations(docs, least, longest, top, chunk_words).collect())
 
 
-@pytest.mark.parametrize("sent", [collocations.PHRASES_SENT, 0])
-def test_phrases_equal_brute_force(spark, monkeypatch, sent):
+@pytest.mark.parametrize("sent, least, chunk_words", [
+    (collocations.PHRASES_SENT, 5, 1 << 20), (collocations.PHRASES_SENT, 10 ** 6, 40), (0, 5, 40), (0, 60, 40)])
+def test_phrases_equal_brute_force(spark, monkeypatch, sent, least, chunk_words):
     monkeypatch.setattr(collocations, "PHRASES_SENT", sent)
     rng = np.random.default_rng(1)
     rows = [(None, None), ("en", ""), ("und", "So on, so on"), (None, "so ON; so on\x0bso on\x0c so on")]
@@ -57,10 +58,9 @@ def test_phrases_equal_brute_force(spark, monkeypatch, sent):
         rows.append((["en", "de", None, ""][rng.integers(4)], text + "New York City hall, " * int(rng.integers(3))))
     rows += [("en", "the same line again and again and again")] * 150
     docs = spark.createDataFrame(rows, "lang string, text string").selectExpr("*", "1 AS n", "2 AS chunk")
-    for least, chunk_words in ((5, 1 << 20), (5, 40), (60, 40), (10 ** 6, 40)):
-        want = brute_phrases(rows, least, 5, 25)
-        assert phrases(docs.repartition(3), least, 5, 25, chunk_words) == want
-        assert bool(want) == (least < 10 ** 6)
+    want = brute_phrases(rows, least, 5, 25)
+    assert phrases(docs.repartition(3), least, 5, 25, chunk_words) == want
+    assert bool(want) == (least < 10 ** 6)
 
 
 def test_phrases_of_odd_rows(spark, odd_docs, no_docs):
@@ -169,15 +169,24 @@ def test_block_links_are_a_forest():
     sets += [np.unique(rng.integers(0, 1 << 60, 100, dtype=np.uint64)) for _ in range(5)]
     def block(parts, sides, sets):
         sketches = [set_links.sketch(set_links.signature(s)) for s in sets]
-        return set_links.Block(parts, np.array(sides), np.array([len(s) for s in sets]), sketches, 80)
+        posted = np.full(len(sets), -1, np.int64)
+        found = []
+        for place in range(set_links.COORDINATES):  # every pair belongs to one place
+            one = set_links.Block(place, parts, np.array(sides), np.array([len(s) for s in sets]), sketches, posted, 80)
+            found.append(one)
+        return found
+
+    def pairs(blocks):
+        return [(i, k) for b in blocks for i, js in b.near() for k in js.tolist()]
 
     whole = block(list(range(35)), [3] * 35, sets)
-    assert whole.members().tolist() == list(range(30))
-    found = whole.links(sets)
-    assert len(found) == 29 and max(max(x) for x in found) < 30
-    assert block([7, 7], [1, 2], sets[:2]).links(sets[:2]) == [] and len(block([7, 7], [1, 2], sets[:2]).members()) == 0
-    assert len(block([7, 8], [1, 2], sets[:2]).links(sets[:2])) == 1
-    assert block([7, 8], [1, 1], sets[:2]).links(sets[:2]) == []
+    assert sorted(pairs(whole)) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
+    joined = [x for b in whole for x in b.links(sets)]
+    assert max(max(x) for x in joined) < 30 and len(set(brute_components(30, joined))) == 1
+    assert pairs(block([7, 7], [1, 2], sets[:2])) == [] and pairs(block([7, 8], [1, 1], sets[:2])) == []
+    assert pairs(block([7, 8], [1, 2], sets[:2])) == [(0, 1)]
+    one = next(b for b in block([7, 8], [1, 2], sets[:2]) if list(b.near()))
+    assert one.members().tolist() == [0, 1] and one.links(sets[:2]) == [(0, 1)]
 
 
 def test_links_of_odd_rows(spark, odd_docs, no_docs):
