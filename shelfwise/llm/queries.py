@@ -40,8 +40,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The contract's columns, and what is left: its bytes, and its text at whole characters."""
+    found = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
+                        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.col("kept_text").alias("text"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
