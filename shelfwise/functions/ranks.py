@@ -46,9 +46,19 @@ def _with_range(vals: DataFrame, by: list, value: str) -> DataFrame:
     """
     fractions = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     keys = [F.col(k).alias(f"__h_{k}") for k in by]
-    hot = vals.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__c"), F.array_distinct(F.percentile_approx(value, fractions, F.lit(1000))).alias("__bounds")
-    ).filter(F.col("__c") > HOT_VALUES).drop("__c")
+    sizes = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") > HOT_VALUES).drop("__c")
+    if by:  # the sketch reads the rows of hot groups only; with none of them, adaptive execution drops both joins
+        large, names = vals.select(*keys, F.col(value).alias("__v")), [f"__h_{k}" for k in by]
+        found = sizes.toDF(*[f"__s_{k}" for k in by])
+        same = F.lit(True)
+        for k in by:
+            same = same & F.col(f"__h_{k}").eqNullSafe(F.col(f"__s_{k}"))
+        hot = large.join(found, same, "left_semi").groupBy(*names).agg(
+            F.array_distinct(F.percentile_approx("__v", fractions, F.lit(1000))).alias("__bounds"))
+    else:
+        hot = vals.agg(
+            F.count(F.lit(1)).alias("__c"), F.array_distinct(F.percentile_approx(value, fractions, F.lit(1000))).alias("__bounds")
+        ).filter(F.col("__c") > HOT_VALUES).drop("__c")
     if by:
         same = F.lit(True)
         for k in by:

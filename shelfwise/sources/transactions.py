@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from shelfwise.schema import RAW_COLUMNS, RAW_FILE_SCHEMA, RAW_HEADER
@@ -77,10 +79,21 @@ CANDIDATE_ALIASES = {
 }
 
 
-def read_candidates(df: DataFrame) -> DataFrame:
+def _file_order(df: DataFrame) -> list | None:
+    """Columns that give the place of a row in its files: path, block, and place in the block; None without files."""
+    try:
+        df.select("_metadata.file_path", "_metadata.file_block_start")
+    except AnalysisException:
+        return None
+    return [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+
+
+def read_candidates(df: DataFrame, order=None) -> DataFrame:
     """Candidate pairs under any accepted header: user bigint, item kept verbatim as text.
 
-    Input order is recorded once as ``row_idx``.  Fails on a missing column.
+    Input order is recorded once as ``row_idx``: by the columns of ``order``, else by the place of the rows in the files
+    that ``df`` reads (path, block, place in the block; a task reads a block from its start), whatever partitions they
+    were read in. A frame with neither keeps the order of its partitions. Fails on a missing column.
     """
     by_lower = {c.strip().lower(): c for c in df.columns}
     picked = {}
@@ -89,10 +102,18 @@ def read_candidates(df: DataFrame) -> DataFrame:
         if not hits:
             raise ValueError(f"candidate input has no {target} column: {df.columns}")
         picked[target] = hits[0]
-    return df.select(
+    columns = [
         F.col(picked["user_id"]).cast("string").cast("bigint").alias("user_id"),
         F.col(picked["item_id"]).cast("string").alias("item_id"),
-    ).withColumn("row_idx", F.monotonically_increasing_id())
+    ]
+    places = [F.col(c) for c in order] if order else _file_order(df)
+    if places is None:
+        return df.select(*columns).withColumn("row_idx", F.monotonically_increasing_id())
+    from shelfwise.functions.ranks import global_position
+
+    names = [f"__o{i}" for i in range(len(places))]
+    placed = df.select(*columns, *[c.alias(n) for c, n in zip(places, names)])
+    return global_position(placed, [F.col(n) for n in names], "row_idx").drop(*names)
 
 
 def candidate_gaps(cand: DataFrame) -> DataFrame:
@@ -132,12 +153,35 @@ def neighbor_rows(neighbors: DataFrame, key: str, other: str, k: int = 10) -> Da
     )
 
 
-def read_or_build(spark: SparkSession, path: str, build) -> DataFrame:
-    """Reuse a finished Parquet snapshot, else build and write it.  Put cut and input version
-    in the path."""
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def input_state(spark: SparkSession, inputs) -> str:
+    """One line per input file, in order of its name: name, length, modification time. Folders are listed through."""
+    lines = []
+    for path in inputs:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            f = files.next()
+            lines.append(f"{f.getPath().toString()}\t{f.getLen()}\t{f.getModificationTime()}")
+    return "\n".join(sorted(lines))
+
+
+def read_or_build(spark: SparkSession, path: str, build, inputs=None, params: str = "") -> DataFrame:
+    """Reuse a finished Parquet snapshot of the same inputs and parameters, else build and write it.
+
+    A version is named by the names, lengths and modification times of the input files and by ``params``; its manifest
+    lies beside it, and it counts as committed once its ``_SUCCESS`` file is there. ``inputs``: files or folders;
+    by default those that the frame itself reads.
+    """
+    frame = build() if inputs is None else None
+    state = input_state(spark, frame.inputFiles() if inputs is None else inputs)
+    version = hashlib.sha256(f"{params}\n{state}".encode()).hexdigest()[:24]
+    place = f"{path}/{version}"
+    if not path_exists(spark, f"{place}/_SUCCESS"):
+        rows = [tuple(line.split("\t")) for line in state.split("\n") if line]
+        spark.createDataFrame([(params, *r) for r in rows], "params string, file string, length string, modified string").coalesce(
+            1).write.mode("overwrite").json(f"{path}/manifest-{version}")
+        (build() if frame is None else frame).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
 
 
 def item_index(df: DataFrame) -> DataFrame:
