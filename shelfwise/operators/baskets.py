@@ -40,14 +40,8 @@ def recent_baskets(baskets: DataFrame, k: int, by=("cut", "user_id")) -> DataFra
     return R.top_k(heads, list(by), [F.col("ts").desc(), F.col("order_id").desc()], k, "age_rank")
 
 
-def item_similarity(rows: DataFrame, scheme: str, by=("cut",)) -> DataFrame:
-    """Similarity (by, i, j, sim) for i <> j from basket co-occurrence; the diagonal (1) is implied.
-
-    Basket weights: 1 (raw, jaccard), 1/sqrt(size - 1) with 1 for single-item baskets (big-basket
-    schemes and cond), 1/sqrt(size) (hypergraph); a ``_tN`` suffix multiplies exp(-age/N), so the
-    product of two entries carries the factor twice.
-    """
-    by = list(by)
+def _weight(scheme: str):
+    """Weight of a basket's entries in a scheme."""
     size = F.col("size").cast("double")
     if scheme in ("cos_raw", "jaccard"):
         w = F.lit(1.0)
@@ -58,6 +52,18 @@ def item_similarity(rows: DataFrame, scheme: str, by=("cut",)) -> DataFrame:
     for tag, tau in (("_t90", 90.0), ("_t30", 30.0)):
         if scheme.endswith(tag):
             w = w * S.decay(S.frac_days("ts", F.col("cut")), tau)
+    return w
+
+
+def item_similarity(rows: DataFrame, scheme: str, by=("cut",)) -> DataFrame:
+    """Similarity (by, i, j, sim) for i <> j from basket co-occurrence; the diagonal (1) is implied.
+
+    Basket weights: 1 (raw, jaccard), 1/sqrt(size - 1) with 1 for single-item baskets (big-basket
+    schemes and cond), 1/sqrt(size) (hypergraph); a ``_tN`` suffix multiplies exp(-age/N), so the
+    product of two entries carries the factor twice.
+    """
+    by = list(by)
+    w = _weight(scheme)
     weighted = rows.select(*by, F.concat_ws("|", "user_id", "order_id").alias("basket"), "item_id", w.alias("w"))
     full = sim.with_diagonal(
         sim.pair_sums(weighted, "basket", "item_id", "w", by), sim.diagonal(weighted, "item_id", "w", by), by)
@@ -120,6 +126,48 @@ def basket_features(cand: DataFrame, rows: DataFrame, pairs: DataFrame, last: in
         F.col("n_recent").isNotNull().cast("double").alias("has_basket"))
 
 
+def scheme_similarities(rows: DataFrame, by=("cut",)) -> DataFrame:
+    """(by, i, j) with a column per scheme of SCHEMES, i <> j: all weights are summed in one self-join."""
+    by = list(by)
+    own = {"raw": "cos_raw", "big": "cos_bigbasket", "t90": "cos_bigbasket_t90", "t30": "cos_bigbasket_t30", "hg": "hg_linear"}
+    weighted = rows.select(*by, F.concat_ws("|", "user_id", "order_id").alias("basket"), "item_id",
+                           *[_weight(s).alias(w) for w, s in own.items()])
+    diag = weighted.groupBy(*by, F.col("item_id").alias("e")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(w) * F.col(w)).alias(w) for w in own])
+    left, right = (diag.select(*by, F.col("e").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ["n", *own]]) for side in "ij")
+    full = sim.pair_sums_many(weighted, "basket", "item_id", list(own), by).join(left, [*by, "i"]).join(right, [*by, "j"])
+    both = {s: F.col(w) / F.sqrt(F.col(f"{w}_i") * F.col(f"{w}_j")) for w, s in own.items()}
+    both["jaccard"] = F.col("m") / (F.col("n_i") + F.col("n_j") - F.col("m"))
+
+    def way(i, j):
+        cond = F.least(F.col("big") / F.col(f"big_{i}"), F.lit(1.0))
+        return F.struct(F.col(i).alias("i"), F.col(j).alias("j"), *[both.get(s, cond).alias(s) for s in SCHEMES])
+
+    return full.select(*by, F.explode(F.array(way("i", "j"), way("j", "i"))).alias("p")).select(*by, "p.*")
+
+
+def scheme_means(cand: DataFrame, rows: DataFrame, pairs: DataFrame, last: int = 3) -> DataFrame:
+    """``sim_last3_mean`` of every scheme as a column of that name, for ``pairs`` of ``scheme_similarities``."""
+    key = ["cut", "user_id", "item_id"]
+    recent = recent_baskets(rows, last).select("cut", "user_id", "order_id")
+    inside = rows.join(recent, ["cut", "user_id", "order_id"])
+    keyed = cand.select(*key).distinct()
+    reach = (
+        inside.select("cut", "user_id", "order_id", F.col("item_id").alias("j")).join(pairs, ["cut", "j"])
+        .select("cut", "user_id", F.col("i").alias("item_id"), "order_id", *SCHEMES).join(keyed, key, "left_semi")
+    )
+    member = inside.join(keyed, key, "left_semi").select(*key, "order_id", *[F.lit(1.0).alias(s) for s in SCHEMES], F.lit(1).alias("own"))
+    # a similarity may pass 1 by a rounding error, and a candidate in the basket counts exactly 1
+    best = reach.withColumn("own", F.lit(0)).unionByName(member).groupBy(*key, "order_id").agg(
+        F.max("own").alias("own"), *[F.max(s).alias(s) for s in SCHEMES])
+    best = best.select(*key, *[F.when(F.col("own") == 1, 1.0).otherwise(F.col(s)).alias(s) for s in SCHEMES])
+    n = recent.groupBy("cut", "user_id").agg(F.count(F.lit(1)).alias("__n"))
+    sums = best.groupBy(*key).agg(*[F.sum(s).alias(s) for s in SCHEMES])
+    out = cand.join(n, ["cut", "user_id"], "left").join(sums, key, "left")
+    each = F.greatest(F.coalesce("__n", F.lit(0)), F.lit(1))
+    return out.select(*cand.columns, *[(F.coalesce(F.col(s), F.lit(0.0)) / each).alias(s) for s in SCHEMES])
+
+
 def features_for_scheme(tx: DataFrame, cand: DataFrame, cuts, scheme: str, last: int = 3) -> DataFrame:
     """All months of one scheme in one job; ``cand`` carries ``cut``."""
     rows = as_of(basket_rows(tx), cuts).persist()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import ranks as R
 from shelfwise.operators import metrics as M
+from shelfwise.operators.grids import grid_group_metrics
 
 GROUP = ["ym", "user_id"]
 
@@ -103,18 +104,14 @@ def grid_metrics(df: DataFrame, cols, vectors, metric, chunk: int = 64) -> DataF
     return parts
 
 
-def grid_group_auc(df: DataFrame, cols, vectors, chunk: int = 64) -> DataFrame:
+def grid_group_auc(df: DataFrame, cols, vectors) -> DataFrame:
     """Macro and weighted group AUC per weight vector."""
-    return grid_metrics(
-        df, cols, vectors,
-        lambda x: R.group_auc(x, ["weight_id", *GROUP], "score").groupBy("weight_id").agg(*M.auc_aggregates()), chunk)
+    return grid_group_metrics(df, cols, vectors).groupBy("weight_id").agg(*M.auc_aggregates())
 
 
-def grid_composite(df: DataFrame, cols, vectors, chunk: int = 64) -> DataFrame:
+def grid_composite(df: DataFrame, cols, vectors) -> DataFrame:
     """Composite metric per weight vector."""
-    return grid_metrics(
-        df, cols, vectors,
-        lambda x: M.composite(M.group_metrics(x, "score", ["weight_id", *GROUP]), by=["weight_id"]), chunk)
+    return M.composite(grid_group_metrics(df, cols, vectors), by=["weight_id"])
 
 
 def grid_pooled_auc(df: DataFrame, cols, vectors, chunk: int = 64) -> DataFrame:
@@ -135,10 +132,13 @@ def add_residual(df: DataFrame, residual: str, by=GROUP, out: str = "resid_pct")
 
 def alpha_sweep(df: DataFrame, anchor: str, alphas, resid: str = "resid_pct", by=()) -> DataFrame:
     """Composite of anchor + alpha * residual percentile for every alpha in one job."""
-    table = F.explode(F.array(*[F.lit(float(a)) for a in alphas]))
-    rows = df.withColumn("alpha", table).withColumn("final", F.col(anchor) + F.col("alpha") * F.col(resid))
-    groups = M.group_metrics(rows, "final", ["alpha", *GROUP])
-    return M.composite(groups, by=["alpha", *by])
+    return M.composite(alpha_groups(df, anchor, alphas, resid), by=["alpha", *by])
+
+
+def alpha_groups(df: DataFrame, anchor: str, alphas, resid: str = "resid_pct", by=GROUP) -> DataFrame:
+    """Group metrics of anchor + alpha * residual percentile for every alpha."""
+    groups = grid_group_metrics(df, [anchor, resid], [(1.0, a) for a in alphas], by)
+    return groups.withColumn("alpha", F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("weight_id") + 1))
 
 
 def boost(df: DataFrame, flag: str, delta: float = 0.10, score: str = "score", out: str = "boosted") -> DataFrame:

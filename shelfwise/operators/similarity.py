@@ -32,12 +32,8 @@ def purchase_matrix(df: DataFrame, weighted: bool = False) -> DataFrame:
     )
 
 
-def pair_sums(rows: DataFrame, key, entity: str, weight: str = "w", by=(), block: int = BLOCK) -> DataFrame:
-    """For i < j: sum over shared keys of w_i * w_j (``c``) and the number of shared keys (``m``).
-
-    ``rows`` holds one row per (by, key, entity).
-    """
-    by = list(by)
+def _shared(rows: DataFrame, key, entity: str, weights, by, block: int) -> DataFrame:
+    """Pairs i < j per shared key with the weights of both, ``<weight>_i`` and ``<weight>_j``."""
     keys = by + ([key] if isinstance(key, str) else list(key))
     big = (
         rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
@@ -46,11 +42,26 @@ def pair_sums(rows: DataFrame, key, entity: str, weight: str = "w", by=(), block
     sized = rows.join(big, keys, "left").withColumn("__slots", F.coalesce("__slots", F.lit(1)))
     slot = F.pmod(F.xxhash64(entity), F.col("__slots")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("__slots") - 1))
-    a = sized.select(*keys, F.col(entity).alias("i"), F.col(weight).alias("wi"), slot.alias("__s"), every.alias("__t"))
-    b = sized.select(*keys, F.col(entity).alias("j"), F.col(weight).alias("wj"), slot.alias("__t"), every.alias("__s"))
-    joined = a.join(b, keys + ["__s", "__t"]).filter(F.col("i") < F.col("j"))
-    return joined.groupBy(*by, "i", "j").agg(
-        F.sum(F.col("wi") * F.col("wj")).alias("c"), F.count(F.lit(1)).alias("m"))
+    a = sized.select(*keys, F.col(entity).alias("i"), *[F.col(w).alias(f"{w}_i") for w in weights], slot.alias("__s"), every.alias("__t"))
+    b = sized.select(*keys, F.col(entity).alias("j"), *[F.col(w).alias(f"{w}_j") for w in weights], slot.alias("__t"), every.alias("__s"))
+    return a.join(b, keys + ["__s", "__t"]).filter(F.col("i") < F.col("j"))
+
+
+def pair_sums(rows: DataFrame, key, entity: str, weight: str = "w", by=(), block: int = BLOCK) -> DataFrame:
+    """For i < j: sum over shared keys of w_i * w_j (``c``) and the number of shared keys (``m``).
+
+    ``rows`` holds one row per (by, key, entity).
+    """
+    by = list(by)
+    return _shared(rows, key, entity, [weight], by, block).groupBy(*by, "i", "j").agg(
+        F.sum(F.col(f"{weight}_i") * F.col(f"{weight}_j")).alias("c"), F.count(F.lit(1)).alias("m"))
+
+
+def pair_sums_many(rows: DataFrame, key, entity: str, weights, by=(), block: int = BLOCK) -> DataFrame:
+    """``pair_sums`` of several weights in one join: a column named after each weight, and ``m``."""
+    by = list(by)
+    return _shared(rows, key, entity, weights, by, block).groupBy(*by, "i", "j").agg(
+        *[F.sum(F.col(f"{w}_i") * F.col(f"{w}_j")).alias(w) for w in weights], F.count(F.lit(1)).alias("m"))
 
 
 def diagonal(rows: DataFrame, entity: str, weight: str = "w", by=()) -> DataFrame:

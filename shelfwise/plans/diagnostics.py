@@ -196,23 +196,21 @@ SELECT scheme, alpha, ym, {COMP} AS composite FROM mgroups GROUP BY 1, 2, 3 UNIO
 
 
 def _all_signals(spark, d):
-    """Candidates of all months with the last-baskets similarity of every scheme, long form."""
-    base = settle(preds(spark, d).select("ym", "cut", "user_id", "item_id", "label", "s_pop"))
-    rows = settle(as_of(B.basket_rows(retail.retail_view(spark, d)), MONTH_CUTS))
-    out = None
-    for s in B.SCHEMES:
-        f = B.basket_features(base, rows, B.item_similarity(rows, s)).select(
-            F.lit(s).alias("scheme"), *base.columns, F.round("sim_last3_mean", 8).alias("signal"))
-        out = f if out is None else out.unionByName(f)
-    return settle(out)
+    """Candidates of all months with the last-baskets similarity of every scheme, long form, stored."""
+    def build():
+        base = preds(spark, d).select("ym", "cut", "user_id", "item_id", "label", "s_pop")
+        rows = settle(as_of(B.basket_rows(retail.retail_view(spark, d)), MONTH_CUTS))
+        means = B.scheme_means(base, rows, B.scheme_similarities(rows))
+        long = F.explode(F.array(*[F.struct(F.lit(s).alias("scheme"), F.round(s, 8).alias("signal")) for s in B.SCHEMES]))
+        return means.select(*base.columns, long.alias("s")).select("s.scheme", *base.columns, "s.signal")
+
+    return shared.stored(spark, d, "signals", build)
 
 
 def _all_sweeps(signals):
     """Composite per scheme, alpha and month, and over all months (``all``)."""
     ranked = Fu.add_residual(signals, "signal", ["scheme", *G])
-    alphas = F.explode(F.array(*[F.lit(a) for a in ALL_ALPHAS]))
-    rows = ranked.withColumn("alpha", alphas).withColumn("final", F.col("s_pop") + F.col("alpha") * F.col("resid_pct"))
-    groups = M.group_metrics(rows, "final", ["scheme", "alpha", *G]).persist()
+    groups = settle(Fu.alpha_groups(ranked, "s_pop", ALL_ALPHAS, by=["scheme", *G]))
     months = M.composite(groups, by=["scheme", "alpha", "ym"])
     every = M.composite(groups, by=["scheme", "alpha"]).withColumn("ym", F.lit("all"))
     columns = ["scheme", "alpha", "ym", "composite"]
