@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     FMClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 from shelfwise import schema as C
 from shelfwise.functions import ranks as R
 from shelfwise.functions import scalar as S
-from shelfwise.operators import replay as Rp
+from shelfwise.operators import metrics as M, replay as Rp
+from shelfwise.operators.grids import grid_group_metrics
+from shelfwise.operators.tree_models import linear_scores, prefix_scores
+from shelfwise.session import settle
 
 
 def _assembled(features):
@@ -86,40 +90,113 @@ def id_encoder(known: DataFrame, features):
     return encode
 
 
+def copies_by_weight(rows: DataFrame, weight: str, keys, mean_copies: float = 2.0, seed: int = C.SEED) -> DataFrame:
+    """Adds ``copies``, whose expectation is the weight times a common scale: ``mean_copies`` over the mean weight.
+
+    A row gets the whole part of its scaled weight, and one more by an md5 draw on the fraction, so a row's copies miss
+    their expectation by less than one (variance at most 1/4), and the sum over m rows by a standard error of at most
+    sqrt(m) / 2. A larger ``mean_copies`` makes the error smaller.
+    """
+    mean = rows.agg(F.avg(weight).alias("m")).first()["m"] or 1.0
+    scaled = F.col(weight) * F.lit(round(mean_copies / mean, 6))
+    head = F.conv(F.substring(S.md5_key(*[F.col(k).cast("string") for k in keys], seed, "copies"), 1, 7), 16, 10)
+    more = head.cast("double") / F.lit(float(1 << 28)) < scaled - F.floor(scaled)
+    return rows.withColumn("copies", F.floor(scaled).cast("long") + more.cast("long"))
+
+
+def replicate_by_weight(rows: DataFrame, weight: str, keys, mean_copies: float = 2.0, seed: int = C.SEED) -> DataFrame:
+    """Every row as many times as its ``copies``: a learner without row weights then fits the weighted rows."""
+    counted = copies_by_weight(rows, weight, keys, mean_copies, seed).filter(F.col("copies") > 0)
+    return counted.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__k", "copies")
+
+
 def factorization(factor: int = 16, max_iter: int = 50, step: float = 0.02, reg: float = 1e-4, seed: int = C.SEED) -> FMClassifier:
-    """Factorization machine over a prepared vector ``x``.  Spark's learner has no row weights, so all rows count alike."""
+    """Factorization machine over a prepared vector ``x``.  Spark's learner has no row
+    weights; ``replicate_by_weight`` gives them to it."""
     return FMClassifier(featuresCol="x", labelCol="label", factorSize=factor, maxIter=max_iter, stepSize=step,
                         regParam=reg, solver="adamW", seed=seed)
 
 
-def pairwise_rows(rows: DataFrame, features, by=("ym", "user_id"), per_positive: int = 20, seed: int = C.SEED) -> DataFrame:
-    """Feature differences of positives against sampled negatives of the same list.
+def sampled_pairs(rows: DataFrame, features, by=("ym", "user_id"), per_positive: int = 20, seed: int = C.SEED) -> DataFrame:
+    """Positives against sampled negatives of the same list: by, item_id, other (the negative), label, feature differences.
 
     The ranking loss is defined over sampled pairs: the negatives of a list are numbered in hash order and every
     positive draws ``per_positive`` numbers by hash, so each draw meets exactly one negative and all pairs of a
-    list are never formed.
+    list are never formed. The numbers come from one range sort over all lists, so no list is sorted by one task.
     """
-    by = list(by)
-    diff = [*features]
-    sizes = rows.filter(F.col("label") == 0).groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    by, diff = list(by), [*features]
     key = lambda *p: F.xxhash64(*by, *p, F.lit(seed))
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(key("item_id"), "item_id")) - 1
-    neg = rows.filter(F.col("label") == 0).withColumn("__slot", number.cast("long")).select(
-        *by, "__slot", *[F.col(c).alias(f"n_{c}") for c in diff])
+    neg = R.global_position(rows.filter(F.col("label") == 0).select(*by, "item_id", *diff),
+                            [*[F.col(c) for c in by], key("item_id"), F.col("item_id")], "__pos")
+    sizes = neg.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__lo"))
+    neg = neg.select(*by, F.col("__pos").alias("__slot"), F.col("item_id").alias("other"), *[F.col(c).alias(f"n_{c}") for c in diff])
     pos = rows.filter(F.col("label") == 1).join(sizes, by).withColumn(
         "__d", F.explode(F.sequence(F.lit(1), F.lit(per_positive)))
-    ).withColumn("__slot", F.pmod(key("item_id", "__d"), F.col("__n"))).select(*by, "__slot", "item_id", "__d", *diff)
+    ).withColumn("__slot", F.col("__lo") + F.pmod(key("item_id", "__d"), F.col("__n"))).select(*by, "__slot", "item_id", "__d", *diff)
     pairs = pos.join(neg, by + ["__slot"])
     flip = F.pmod(key("item_id", "__d", F.lit("flip")), F.lit(2)) == 0
     sign = F.when(flip, -1.0).otherwise(1.0)
-    return pairs.select(*by, "item_id", flip.alias("__f"), *[(sign * (F.col(c) - F.col(f"n_{c}"))).alias(c) for c in diff]).withColumn(
-        "label", F.when(F.col("__f"), 0).otherwise(1)).drop("__f")
+    return pairs.select(*by, "item_id", "other", F.when(flip, 0).otherwise(1).alias("label"),
+                        *[(sign * (F.col(c) - F.col(f"n_{c}"))).alias(c) for c in diff])
+
+
+def pairwise_rows(rows: DataFrame, features, by=("ym", "user_id"), per_positive: int = 20, seed: int = C.SEED) -> DataFrame:
+    """Feature differences of ``sampled_pairs``."""
+    return sampled_pairs(rows, features, by, per_positive, seed).drop("other")
 
 
-def pairwise_ranker(features, reg: float = 1e-3, max_iter: int = 100) -> Pipeline:
+def pairwise_ranker(features, reg: float = 1e-3, max_iter: int = 100, weight: str | None = None) -> Pipeline:
     """Linear ranker: logistic regression on pair differences without intercept."""
     lr = LogisticRegression(featuresCol="x", labelCol="label", fitIntercept=False, regParam=reg, maxIter=max_iter)
-    return Pipeline(stages=[_assembled(features), lr])
+    return Pipeline(stages=[_assembled(features), lr.setWeightCol(weight) if weight else lr])
+
+
+def list_discounts(scored: DataFrame, by=("ym", "user_id"), score: str = "score") -> DataFrame:
+    """by, item_id, label, gain (1 / log2(1 + rank) by descending score, ties averaged), ideal (DCG of the best order)."""
+    by = list(by)
+    ranked = R.average_rank(scored, by, score, "__r", "__n")
+    rows = ranked.select(*by, "item_id", "label", (1.0 / F.log2(F.col("__n") + 2.0 - F.col("__r"))).alias("gain"))
+    p = rows.filter(F.col("label") == 1).groupBy(*by).agg(F.count(F.lit(1)).alias("__p"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.col("__p").cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+    return rows.join(p.select(*by, ideal.alias("ideal")), by)
+
+
+def mean_ndcg(discounts: DataFrame, by=("ym", "user_id")) -> float:
+    """Mean NDCG over lists with a positive."""
+    lists = discounts.groupBy(*by).agg((F.sum(F.col("label") * F.col("gain")) / F.first("ideal")).alias("v"))
+    return float(lists.agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("v")).first()["v"])
+
+
+def list_ranker(rows: DataFrame, features, by=("ym", "user_id"), rounds: int = 4, tolerance: float = 1e-3,
+                per_positive: int = 20, reg: float = 1e-3) -> PipelineModel:
+    """Linear list-wise ranker: every sampled pair weighs as much as its swap changes the NDCG of its list.
+
+    The first fit counts pairs alike. Each round scores the rows with the last model, ranks them inside their lists,
+    weights the pairs by |1/log2(1 + r_i) - 1/log2(1 + r_j)| / ideal DCG and fits again, until the direction of the
+    coefficients moves by less than ``tolerance`` or ``rounds`` are over. The model with the highest mean NDCG on the
+    training lists is kept, so the weights never make it worse there.
+    """
+    by = list(by)
+    pairs = settle(sampled_pairs(rows, features, by, per_positive))
+    model = pairwise_ranker(features, reg).fit(pairs)
+    best, value, last = model, None, None
+    for turn in range(rounds + 1):
+        scored = add_margin(model, rows.select(*by, "item_id", "label", *features)).select(*by, "item_id", "label", "score")
+        places = settle(list_discounts(scored, by))
+        now = mean_ndcg(places, by)
+        if value is None or now > value:
+            best, value = model, now
+        w = model.stages[-1].coefficients.toArray()
+        w = w / (float((w * w).sum()) ** 0.5 or 1.0)
+        if turn == rounds or last is not None and float(((w - last) ** 2).sum()) ** 0.5 < tolerance:
+            break
+        last = w
+        own = places.select(*by, "item_id", F.col("gain").alias("__g"), F.col("ideal").alias("__i"))
+        other = places.select(*by, F.col("item_id").alias("other"), F.col("gain").alias("__h"))
+        weighted = pairs.join(own, by + ["item_id"]).join(other, by + ["other"]).withColumn(
+            "weight", F.abs(F.col("__g") - F.col("__h")) / F.col("__i"))
+        model = pairwise_ranker(features, reg, weight="weight").fit(weighted)
+    return best
 
 
 def add_probability(model, rows: DataFrame, out: str = "score") -> DataFrame:
@@ -161,12 +238,18 @@ def out_of_fold(rows: DataFrame, months, learner, weigh=None, last_k: int | None
     return out
 
 
-def out_of_fold_ranker(rows: DataFrame, months, features, score: str = "score") -> DataFrame:
-    out = None
-    for target, train_months in Rp.forward_folds(list(months)):
-        model = pairwise_ranker(features).fit(pairwise_rows(rows.filter(F.col("ym").isin(train_months)), features))
-        part = add_margin(model, rows.filter(F.col("ym") == target), score).select("ym", "user_id", "item_id", "label", score)
-        out = part if out is None else out.unionByName(part)
+def out_of_fold_ranker(rows: DataFrame, months, features, score: str = "score", rounds: int = 2, parallel: int = 4) -> DataFrame:
+    """Every later month scored by the list-wise ranker of the months before it; folds run side by side."""
+    def fold(item):
+        target, train_months = item
+        model = list_ranker(rows.filter(F.col("ym").isin(train_months)), features, rounds=rounds)
+        return add_margin(model, rows.filter(F.col("ym") == target), score).select("ym", "user_id", "item_id", "label", score)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        parts = list(pool.map(fold, Rp.forward_folds(list(months))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
@@ -225,13 +308,83 @@ def contribution_report(model: PipelineModel, features) -> list[tuple[str, float
     return sorted(zip(features, [float(v) for v in values.toArray()]), key=lambda t: -abs(t[1]))
 
 
-def sweep(rows: DataFrame, months, grid: dict, weigh=None, parallel: int = 1, last_k: int | None = None) -> DataFrame:
-    """Macro group AUC of every named learner of a small grid over the same folds."""
-    from shelfwise.operators import metrics as M
+def _config_auc(scored: DataFrame, configs: dict[str, str]) -> DataFrame:
+    """Macro and weighted group AUC per score column (column -> configuration), from one pass over the rows."""
+    columns = list(configs)
+    unit = [tuple(float(i == k) for i in range(len(columns))) for k in range(len(columns))]
+    config = F.element_at(F.array(*[F.lit(n) for n in configs.values()]), F.col("weight_id") + 1)
+    return grid_group_metrics(scored, columns, unit).groupBy(config.alias("config")).agg(*M.auc_aggregates())
 
-    out = None
-    for name, learner in grid.items():
-        oof = out_of_fold(rows, months, learner, weigh, last_k, parallel=parallel)
-        row = R.group_auc(oof, ["ym", "user_id"], "score").agg(*M.auc_aggregates()).withColumn("config", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+
+def linear_sweep(rows: DataFrame, months, features, windows, alphas, cs, max_iter: int = 100, parallel: int = 4) -> DataFrame:
+    """config, group AUCs of standardised logistic models over forward folds: training window x exponent of the group
+    weight x inverse regularisation.
+
+    A fold's vectors are standardised and stored once per set of training months; the strengths of one weight share
+    its rows; windows that hold the same months share their fits.
+    """
+    folds = {w: dict(Rp.forward_folds(list(months), last_k=w)) for w in windows}
+    jobs = sorted({(tuple(train), a) for f in folds.values() for train in f.values() for a in alphas})
+    prepared = {}
+    for train_months in sorted({t for t, _ in jobs}):
+        train = Rp.weight_group_power(rows.filter(F.col("ym").isin(list(train_months))), 1.0)
+        scaler = Pipeline(stages=[_assembled(features), StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True)]).fit(train)
+        prepared[train_months] = scaler.stages[-1], settle(scaler.transform(train).select("label", "z", "weight"))
+
+    def fit(job):
+        train_months, alpha = job
+        scaler, vectors = prepared[train_months]
+        weighted = vectors.withColumn("weight", F.pow("weight", F.lit(alpha)))  # 1/n to the power alpha
+        total = weight_total(weighted, "weight")
+        lr = LogisticRegression(featuresCol="z", labelCol="label", maxIter=max_iter, standardization=False, weightCol="weight")
+        models = lr.fit(weighted, [{lr.regParam: 1.0 / (c * total)} for c in cs])
+        std = scaler.std.toArray()
+        out = []
+        for m in models:
+            w = np.divide(m.coefficients.toArray(), std, out=np.zeros(len(std)), where=std > 0)
+            out.append((w, float(m.intercept - w @ scaler.mean.toArray())))
+        return out
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        fitted = dict(zip(jobs, pool.map(fit, jobs)))
+    grid = [(w, a, i) for w in windows for a in alphas for i in range(len(cs))]
+    scored = None
+    for target in dict(Rp.forward_folds(list(months))):
+        models = {f"s{k}": fitted[tuple(folds[w][target]), a][i] for k, (w, a, i) in enumerate(grid)}
+        part = linear_scores(rows.filter(F.col("ym") == target).select("ym", "user_id", "item_id", "label", *features), features, models)
+        part = part.drop(*features)
+        scored = part if scored is None else scored.unionByName(part)
+    return _config_auc(scored, {f"s{k}": f"lr_w{w or 'all'}_a{a}_c{cs[i]}" for k, (w, a, i) in enumerate(grid)})
+
+
+def tree_sweep(rows: DataFrame, months, features, grid: dict, counts, parallel: int = 2) -> DataFrame:
+    """config, group AUCs of boosted configurations over forward folds at every tree count, one fit a fold each.
+
+    ``grid``: name -> (arguments of ``boosted_trees``, exponent of the class ratio on positives); rows weigh 1/n of
+    their list. A configuration's scores at all ``counts`` come from the longest fit.
+    """
+    counts = sorted(set(counts))
+    train_sets = {}
+    for target, train_months in Rp.forward_folds(list(months)):
+        train_sets[target] = settle(Rp.weight_equal_group(rows.filter(F.col("ym").isin(train_months))).select("label", "weight", *features))
+
+    def fold(item):
+        target, name = item
+        args, alpha = grid[name]
+        train = train_sets[target]
+        if alpha:
+            ratio = Rp.class_ratio(train)
+            train = train.withColumn("weight", F.when(F.col("label") == 1, F.col("weight") * F.pow(ratio, F.lit(alpha))).otherwise(F.col("weight")))
+        return boosted_trees(features, "weight", trees=counts[-1], **args).fit(train)
+
+    items = [(t, n) for t in train_sets for n in grid]
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        models = dict(zip(items, pool.map(fold, items)))
+    scored = None
+    for target in train_sets:
+        part = rows.filter(F.col("ym") == target).select("ym", "user_id", "item_id", "label", *features)
+        for k, name in enumerate(grid):
+            part = prefix_scores(models[target, name], part, features, counts, f"s{k}")
+        part = part.drop(*features)
+        scored = part if scored is None else scored.unionByName(part)
+    return _config_auc(scored, {f"s{k}_{c}": f"{n}_{c}" for k, n in enumerate(grid) for c in counts})

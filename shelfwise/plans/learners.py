@@ -28,9 +28,12 @@ G = ["ym", "user_id"]
 
 def wide(spark, d):
     """Replay rows of all months with the context columns."""
-    b = Fe.build_bundle(retail.retail_view(spark, d, country=True), retail.products(spark, d), MONTH_CUTS, TOP_N)
-    rows = shared.replay_rows(spark, d).select("cut", "ym", "user_id", "item_id", "label", "prior_bought")
-    return Fe.context_features(rows, b).withColumn("ui_owned", F.col("prior_bought").cast("double")).persist()
+    def build():
+        b = Fe.build_bundle(retail.retail_view(spark, d, country=True), retail.products(spark, d), MONTH_CUTS, TOP_N)
+        rows = shared.replay_rows(spark, d).select("cut", "ym", "user_id", "item_id", "label", "prior_bought")
+        return Fe.context_features(rows, b).withColumn("ui_owned", F.col("prior_bought").cast("double"))
+
+    return shared.stored(spark, d, "wide", build)
 
 
 #: Tree counts of the two boosted configurations and the forest, iterations of the linear models.
@@ -121,13 +124,31 @@ def n05(spark, d):
 
 @add("n06_factorization_machine", LAST)
 def n06(spark, d):
-    """Rows count alike: the learner has no row weights."""
+    """Rows are repeated by their weight: 1/sqrt(rows of the user), times the class ratio for positives."""
     train, last = _train_last(wide(spark, d))
     encode = L.id_encoder(train, FEATS)
-    model = L.factorization(factor=16, max_iter=50).fit(encode(train))
+    copies = L.replicate_by_weight(Rp.weight_macro_scaled(train), "weight", [*G, "item_id"], mean_copies=1.0)
+    model = L.factorization(factor=16, max_iter=50).fit(encode(copies))
     return facts(L.add_probability(model, encode(last)))
 
 
+@add("n06_weight_copies", f"""
+WITH r AS (SELECT ym, user_id, item_id, label FROM replay WHERE ym < '{MONTHS[-1]}'),
+c AS (SELECT sum(1 - label) / sum(label) AS ratio FROM r),
+w AS (SELECT r.*, CASE WHEN label = 1 THEN ratio ELSE 1 END / sqrt(count(*) OVER (PARTITION BY user_id)) AS weight FROM r, c),
+x AS (SELECT *, weight * (SELECT round(2.0::DOUBLE / avg(weight), 6) FROM w) AS scaled FROM w)
+SELECT label, count(*) AS n, CAST(sum(floor(scaled) + CASE WHEN ('0x' || substr(md5(ym || '-' || user_id || '-' || item_id || '-42-copies'), 1, 7))::BIGINT / 268435456.0::DOUBLE
+  < scaled - floor(scaled) THEN 1 ELSE 0 END) AS BIGINT) AS copies, CAST(count(*) FILTER (WHERE scaled >= 1) AS BIGINT) AS n_sure FROM x GROUP BY label
+""")
+def n06_copies(spark, d):
+    """Rows, their copies, and rows that have one for sure, by class."""
+    weighted = Rp.weight_macro_scaled(_train_last(wide(spark, d))[0])
+    out = L.copies_by_weight(weighted, "weight", [*G, "item_id"])
+    mean = weighted.agg(F.avg("weight").alias("m")).first()["m"]
+    sure = (F.col("weight") * F.lit(round(2.0 / mean, 6)) >= 1).cast("bigint")
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"), F.sum(sure).alias("n_sure"))
+
+
 def _als(spark, d, tau=None, gamma=0.0, rank=48, iterations=18):
     tx = retail.retail_view(spark, d)
     hist = tx.filter(F.col("ts") < S.at(CUT))
@@ -163,20 +184,33 @@ def n10(spark, d):
     return facts(L.out_of_fold(wide(spark, d), MONTHS, lr(), Rp.weight_equal_group, parallel=2))
 
 
-def _lr_grid():
-    """Window of training months x exponent of the group weight x inverse regularisation."""
-    return [(w, a, c) for w in (2, 3, None) for a in (0.5, 1.0) for c in (0.3, 1.0, 3.0)]
-
-
 @add("n11_parameter_sweep", "SELECT 'lr_w' || coalesce(CAST(w AS VARCHAR), 'all') || '_a' || a || '_c' || c AS config, true AS gauc_macro_ok, true AS gauc_weighted_ok"
      " FROM (VALUES (2), (3), (NULL)) w(w), (VALUES ('0.5'), ('1.0')) a(a), (VALUES ('0.3'), ('1.0'), ('3.0')) c(c)")
 def n11(spark, d):
-    w = wide(spark, d)
-    out = None
-    for window, alpha, c in _lr_grid():
-        name = f"lr_w{window or 'all'}_a{alpha}_c{c}"
-        part = L.sweep(w, MONTHS, {name: lr(c=c)}, lambda rows, e=alpha: Rp.weight_group_power(rows, e), parallel=4, last_k=window)
-        out = part if out is None else out.unionByName(part)
+    """Window of training months x exponent of the group weight x inverse regularisation."""
+    out = L.linear_sweep(wide(spark, d), MONTHS, FEATS, (2, 3, None), (0.5, 1.0), (0.3, 1.0, 3.0), MAX_ITER)
+    return out.select("config", in_unit("gauc_macro").alias("gauc_macro_ok"), in_unit("gauc_weighted").alias("gauc_weighted_ok"))
+
+
+#: The eight boosted configurations (leaf counts as depths) and the exponent of the class ratio.
+TREE_GRID = {
+    "xb_base": (dict(depth=6, step=0.05, subsample=0.8, columns="0.8"), 0.0),
+    "xb_d5": (dict(depth=5, step=0.05, subsample=0.8, columns="0.8"), 0.0),
+    "xb_d7_l03": (dict(depth=7, step=0.03, subsample=0.8, columns="0.8"), 0.0),
+    "xb_cs5_ss1": (dict(depth=6, step=0.05, subsample=1.0, columns="0.5"), 0.0),
+    "xb_spw05": (dict(depth=6, step=0.05, subsample=0.8, columns="0.8"), 0.5),
+    "lb_base": (dict(depth=5, step=0.05, subsample=0.8, columns="0.8", min_rows=20), 0.0),
+    "lb_nl63": (dict(depth=6, step=0.05, subsample=0.8, columns="0.8", min_rows=20), 0.0),
+    "lb_l03": (dict(depth=5, step=0.03, subsample=0.8, columns="0.8", min_rows=10), 0.0),
+}
+#: Tree counts of the sweep; all come from the longest fit.
+SWEEP_TREES = (2, 4, 8)
+
+
+@add("n11_tree_sweep", "SELECT g || '_' || t AS config, true AS gauc_macro_ok, true AS gauc_weighted_ok FROM (VALUES "
+     + ", ".join(f"('{g}')" for g in TREE_GRID) + ") g(g), (VALUES " + ", ".join(f"({t})" for t in SWEEP_TREES) + ") t(t)")
+def n11_trees(spark, d):
+    out = L.tree_sweep(wide(spark, d), MONTHS, FEATS, TREE_GRID, SWEEP_TREES)
     return out.select("config", in_unit("gauc_macro").alias("gauc_macro_ok"), in_unit("gauc_weighted").alias("gauc_weighted_ok"))
 
 

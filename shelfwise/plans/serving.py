@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise import schema as C
-from shelfwise.operators import learners as L, profiling, recall as Rc, serving as Sv, similarity as sim
+from shelfwise.operators import learners as L, profiling, recall as Rc, serving as Sv, similarity as sim, tree_models as Tm
 from shelfwise.plans.base import Family, cte
 from shelfwise.plans.recall import three_routes, _pop_and_cf
 from shelfwise.sources import retail
@@ -148,12 +148,13 @@ def k08(spark, d):
     return Sv.display_rows(cat.select("item_id"), cat, products).select("item_id", "descr", "descr_zh", "category", "buyers")
 
 
-@add("k09_contribution_report", "SELECT m AS model, f AS feature, true AS valid FROM (VALUES ('lr'), ('gbt')) m(m), (VALUES "
+@add("k09_contribution_report", "SELECT m AS model, f AS feature, true AS valid FROM (VALUES ('lr'), ('gbt'), ('gbt_splits')) m(m), (VALUES "
      + ", ".join(f"('{f}')" for f in _FEATS) + ") f(f)")
 def k09(spark, d):
     _, w, model, _ = _scored(spark, d)
     trees = L.boosted_trees(_FEATS, trees=100, depth=5).fit(w)
     rows = [("lr", f, v) for f, v in L.contribution_report(model, _FEATS)]
     rows += [("gbt", f, v) for f, v in L.contribution_report(trees, _FEATS)]
-    report = spark.createDataFrame(rows, "model string, feature string, value double")
+    report = spark.createDataFrame(rows, "model string, feature string, value double").unionByName(
+        Tm.split_counts(trees, _FEATS).select(F.lit("gbt_splits").alias("model"), "feature", F.col("splits").cast("double").alias("value")))
     return report.select("model", "feature", (~F.isnan("value") & (F.abs("value") < float("inf"))).alias("valid"))
