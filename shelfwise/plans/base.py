@@ -6,10 +6,14 @@ import re
 from collections.abc import Callable
 
 CTES: dict[str, str] = {}
+#: Shared CTEs that a query reads several times and that are dear to compute.
+ONCE: set[str] = set()
 
 
-def cte(name: str, body: str) -> None:
+def cte(name: str, body: str, once: bool = False) -> None:
     CTES[name] = body.strip()
+    if once:
+        ONCE.add(name)
 
 
 def sql(body: str) -> str:
@@ -28,7 +32,7 @@ def sql(body: str) -> str:
     visit(body, ())
     if not order:
         return body
-    heads = ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in order)
+    heads = ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in ONCE)}(\n{CTES[n]}\n)" for n in order)
     return f"WITH {heads}\n{body}"
 
 

@@ -186,13 +186,13 @@ ALL_ALPHAS = [0.0, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0
 SELECT_MONTH, CONFIRM_MONTH = "2001-06", "2001-07"
 cte("msig", """
 SELECT f.scheme, p.ym, p.user_id, p.item_id, p.label, p.s_pop, round(f.sim_last3_mean, 8) AS signal FROM preds p JOIN mfeat f ON f.cut = p.cut AND f.user_id = p.user_id AND f.item_id = p.item_id
-""")
+""", once=True)
 _MSIG = "(SELECT * FROM msig WHERE scheme = '{}')"
 cte("mgroups", " UNION ALL ".join(
-    f"SELECT '{s}' AS scheme, * FROM {sweep_sql('signal', source=_MSIG.format(s), values=ALL_ALPHAS)}" for s in B.SCHEMES))
+    f"SELECT '{s}' AS scheme, * FROM {sweep_sql('signal', source=_MSIG.format(s), values=ALL_ALPHAS)}" for s in B.SCHEMES), once=True)
 cte("msweep", f"""
 SELECT scheme, alpha, ym, {COMP} AS composite FROM mgroups GROUP BY 1, 2, 3 UNION ALL SELECT scheme, alpha, 'all', {COMP} FROM mgroups GROUP BY 1, 2
-""")
+""", once=True)
 
 
 def _all_signals(spark, d):
