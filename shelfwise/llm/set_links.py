@@ -1,12 +1,15 @@
 """Groups of similar sets among those that share a posting, without a row per pair.
 
 Sets are ascending 64-bit hashes. First every member of a posting is compared with its least node, which joins a group
-of near copies in as many rows as it has members. Postings that then still hold more than one group are cut into
-runs of bounded size, and each pair of runs of a posting is one block. A task passes over pairs of a block that are in
-one group already, of too different sizes, below the match threshold of their sketches (32 bits of each
-minimum), or to be compared in another posting that they share; it reads the sets of the others' members, compares them whole, and gives out at most as many links as there
-are groups to join. Postings with the same members are compared once, runs that lie in one group not at all; no
-posting is capped.
+of near copies in as many rows as it has members. Postings that then still hold more than one group are taken together
+with those of nearly the same members (equal least two of the members' hashes), so that a hot group is a row of each
+member once and not once for every posting that it shares. They are cut into runs of RUN_NODES members, and each pair of
+runs is one block; a task passes over pairs of a block that are in one group already, of too different sizes, below the
+match threshold of their sketches (32 bits of each minimum), or to be compared in another posting that they share. What
+is left is cut again by the size of its sets; a task reads those, compares them whole, and gives out at most as
+many links as there are groups to join. Runs that lie in one group are not compared at all; no posting is capped.
+
+Rows are in proportion to the members up to RUN_NODES; n members above it are n / RUN_NODES times as many.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from shelfwise.llm.components import components
 SEED, COORDINATES, MISSED = 42, 64, 1e-10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(SEED + 1).integers(0, 1 << 64, COORDINATES, dtype=np.uint64)
-#: Hashes in a run; a set counts ROW_CELLS more, which bounds the sets of a run as well.
+#: Members whose sketches are compared at once.
+RUN_NODES = 8192
+#: Hashes of sets that are compared at once; a set counts ROW_CELLS more, which bounds the sets as well.
 RUN_CELLS, ROW_CELLS = 250_000, 500
 
 
@@ -148,17 +153,19 @@ class Block:
 
     Postings have a place, and a posting at place p stands for coordinates p * width to (p + 1) * width of the sketch.
     ``posted`` has a bit for each place at which a member is posted. A pair belongs to the first place at which both
-    are posted and agree, so it is compared in one posting of all that it shares.
+    are posted and agree, so it is compared in one posting of all that it shares. ``place``: that of the block's
+    posting, or those of its postings.
     """
 
-    def __init__(self, place: int, parts: list[int], sides: np.ndarray, sizes: np.ndarray, sketches: list[bytes],
+    def __init__(self, place: int | list[int], parts: list[int], sides: np.ndarray, sizes: np.ndarray, sketches: list[bytes],
                  posted: np.ndarray, percent: int, width: int = 1):
         self.group = np.unique(parts, return_inverse=True)[1]
         self.left, self.right, self.sizes, self.percent = sides & 1 > 0, sides & 2 > 0, sizes, percent
         self.sketches = np.frombuffer(b"".join(sketches), np.uint32).reshape(len(parts), -1)
         self.threshold = match_threshold(percent, self.sketches.shape[1])
         bits = np.unpackbits(posted.astype("<i8").view(np.uint8).reshape(len(parts), 8), axis=1, bitorder="little")
-        self.place, self.width, self.posted = place, width, bits[:, :self.sketches.shape[1] // width] > 0
+        self.width, self.posted = width, bits[:, :self.sketches.shape[1] // width] > 0
+        self.here = np.isin(np.arange(self.posted.shape[1]), place)
 
     def near(self):
         """(i, members j) for each left member i: right members of other parts that may be similar and belong here."""
@@ -173,7 +180,7 @@ class Block:
             many = np.flatnonzero(same.sum(axis=1) >= self.threshold)
             j, same = j[many], same[many]
             both = same.reshape(len(j), self.posted.shape[1], self.width).all(axis=2) & self.posted[j] & self.posted[i]
-            j = j[both[:, self.place] & ~both[:, :self.place].any(axis=1)]
+            j = j[both.any(axis=1) & self.here[both.argmax(axis=1)]]
             if len(j):
                 yield i, j
 
@@ -185,6 +192,22 @@ class Block:
             some[j] = True
         return np.flatnonzero(some)
 
+    def pieces(self):
+        """(number, members, sides) of blocks of bounded sets that hold every such pair."""
+        start = np.where(self.left, 0, 1 + (self.sizes + ROW_CELLS).sum() // RUN_CELLS)
+        run = np.zeros(len(self.group), np.int64)
+        for some in (np.flatnonzero(self.left), np.flatnonzero(~self.left)):
+            run[some] = start[some] + np.cumsum(self.sizes[some] + ROW_CELLS) // RUN_CELLS
+        found = {}
+        for i, j in self.near():
+            for r in np.unique(run[j]).tolist():
+                some = found.setdefault((int(run[i]), r), np.zeros(len(run), bool))
+                some[i] = True
+                some[j[run[j] == r]] = True
+        for number, ((a, b), some) in enumerate(found.items()):
+            some = np.flatnonzero(some)
+            yield number, some, np.where(run[some] == a, 1, 0) + np.where(run[some] == b, 2, 0)
+
     def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         """Similar pairs, only those that join two groups.
 
@@ -211,34 +234,38 @@ class Block:
         return out
 
 
-def _block(place: int, rows: pa.StructArray, percent: int, width: int) -> tuple[Block, dict[str, pa.Array]]:
+def _block(places: int, rows: pa.StructArray, percent: int, width: int) -> tuple[Block, dict[str, pa.Array]]:
     own = {rows.type.field(i).name: column for i, column in enumerate(rows.flatten())}
-    return Block(place, own["part"].to_pylist(), own["side"].to_numpy(), own["size"].to_numpy(),
-                 own["sketch"].to_pylist(), own["posted"].to_numpy(), percent, width), own
+    return Block([p for p in range(64) if places >> p & 1], own["part"].to_pylist(), own["side"].to_numpy(),
+                 own["size"].to_numpy(), own["sketch"].to_pylist(), own["posted"].to_numpy(), percent, width), own
+
+
+def _blocks(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs (k, node, part, size, run) of postings taken together, and blocks (k, places, run, run2) of them."""
+    twins = F.struct(F.min(F.xxhash64("node")).alias("h"), F.min(F.xxhash64(F.lit(1), "node")).alias("g"))
+    keys = rest.groupBy("key").agg(twins.alias("k"), F.min("place").alias("place"))
+    places = keys.groupBy("k").agg(F.expr("bit_or(shiftleft(1L, place))").alias("places"))
+    members = rest.join(keys.drop("place"), "key").select("k.h", "k.g", "node", "part", "size").distinct()
+    ordered = global_order(members, ["h", "g", "part", "node"], None, "runs")
+    runs = stash(ordered.select(F.struct("h", "g").alias("k"), "node", "part", "size",
+                                F.floor(F.col("before") / RUN_NODES).alias("run")), "runs")
+    pieces = stash(runs.groupBy("k", "run").agg(F.min("part").alias("x"), F.max("part").alias("y")), "pieces")
+    pairs = pieces.join(pieces.toDF("k", "run2", "x2", "y2"), "k").where("run <= run2 AND NOT (x = y AND x = x2 AND x2 = y2)")
+    blocks = stash(pairs.select("k", "run", "run2").join(places, "k"), "blocks")
+    discard(pieces)
+    return runs, blocks
 
 
 def _across(rest: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int,
             width: int) -> DataFrame:
     """Links (a, b) between the parts of postings (key, place, node, part, size)."""
-    ordered = global_order(rest.withColumn("cells", F.col("size") + ROW_CELLS), ["key", "part", "node"], "cells", "runs")
-    runs = stash(ordered.select("key", "place", "node", "part", "size", F.floor(F.col("before") / RUN_CELLS).alias("run")), "runs")
-    pieces = runs.groupBy("key", "run").agg(
-        F.min("place").alias("place"), F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("g"))
-    one = pieces.groupBy("key").agg(F.count("*").alias("runs"))
-    pieces = stash(pieces.join(one, "key"), "pieces")
-    small = pieces.where("runs = 1").groupBy("h", "g", "n").agg(F.min(F.struct("place", "key", "run")).alias("p"))
-    large = pieces.where("runs > 1").select("key", "place", "run", "x", "y")
-    pairs = large.join(large.drop("place").toDF("key", "run2", "x2", "y2"), "key").where(
-        "run <= run2 AND NOT (x = y AND x = x2 AND x2 = y2)")
-    blocks = small.select("p.key", "p.place", F.col("p.run").alias("run"), F.col("p.run").alias("run2")).union(
-        pairs.select("key", "place", "run", "run2"))
+    runs, blocks = _blocks(rest)
     sides = F.when(F.col("run") == F.col("run2"), F.array(F.struct(F.col("run").alias("run"), F.lit(3).alias("side")))).otherwise(
         F.array(F.struct(F.col("run").alias("run"), F.lit(1).alias("side")),
                 F.struct(F.col("run2").alias("run"), F.lit(2).alias("side"))))
-    wanted = blocks.select("key", F.struct("key", "place", "run", "run2").alias("block"), F.explode(sides).alias("s")).select(
-        "key", "block", "s.run", "s.side")
-    members = wanted.join(runs.drop("place"), ["key", "run"]).join(sketches, "node")
+    wanted = blocks.select("k", F.struct("k", "places", "run", "run2").alias("block"), F.explode(sides).alias("s")).select(
+        "k", "block", "s.run", "s.side")
+    members = wanted.join(runs, ["k", "run"]).join(sketches, "node")
     grouped = members.groupBy("block").agg(
         F.collect_list(F.struct("node", "part", "side", "size", "sketch", "posted")).alias("members"))
 
@@ -246,18 +273,24 @@ def _across(rest: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame]
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = batch.column(1).slice(i, 1).flatten()
-                place = batch.column(0).field("place")[i].as_py()
-                some = _block(place, rows, percent, width)[0].members()
-                if len(some):
+                places = batch.column(0).field("places")[i].as_py()
+                some = _block(places, rows, percent, width)[0].members()
+                if not len(some):
+                    continue
+                rows = rows.take(pa.array(some))
+                block, own = _block(places, rows, percent, width)
+                for number, some, side in block.pieces():
+                    taken = {n: c.take(pa.array(some)) for n, c in own.items()} | {"side": pa.array(side.astype(np.int32))}
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([i] * len(some))), rows.take(pa.array(some))], ["block", "m"])
+                        [batch.column(0).take(pa.array([i] * len(some))), pa.array([number] * len(some), pa.int32()),
+                         pa.StructArray.from_arrays(list(taken.values()), list(taken))], ["block", "piece", "m"])
 
     def confirm(batches):
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                place = batch.column(0).field("place")[i].as_py()
-                block, own = _block(place, batch.column(1).slice(i, 1).flatten(), percent, width)
+                places = batch.column(0).field("places")[i].as_py()
+                block, own = _block(places, batch.column(1).slice(i, 1).flatten(), percent, width)
                 nodes = own["node"].to_pylist()
                 sets = [np.frombuffer(x, np.uint64) for x in own["hashes"].to_pylist()]
                 out += [(nodes[a], nodes[b]) for a, b in block.links(sets)]
@@ -266,13 +299,13 @@ def _across(rest: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame]
 
     member = "struct<node:long,part:long,side:int,size:long,sketch:binary,posted:long>"
     near = stash(grouped.mapInArrow(
-        candidates, f"block struct<key:long,place:int,run:long,run2:long>, m {member}"), "near")
-    discard(runs, pieces)
+        candidates, f"block struct<k:struct<h:long,g:long>,places:long,run:long,run2:long>, piece int, m {member}"), "near")
+    discard(runs, blocks)
     drop_shuffles(near.sparkSession)
     sets = sets_for(near.select("m.node").distinct())
-    whole = near.select("block", "m.*").join(sets, "node").groupBy("block").agg(
+    whole = near.select("block", "piece", "m.*").join(sets, "node").groupBy("block", "piece").agg(
         F.collect_list(F.struct("node", "part", "side", "size", "sketch", "posted", "hashes")).alias("members"))
-    links = stash(whole.mapInArrow(confirm, "a long, b long").distinct(), "links")
+    links = stash(whole.drop("piece").mapInArrow(confirm, "a long, b long").distinct(), "links")
     discard(near, sets)
     return links
 

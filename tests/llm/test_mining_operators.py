@@ -189,6 +189,56 @@ def test_block_links_are_a_forest():
     assert one.members().tolist() == [0, 1] and one.links(sets[:2]) == [(0, 1)]
 
 
+def test_hot_postings_make_rows_in_proportion(spark, monkeypatch):
+    """Members of a hot group, none similar, are rows of few blocks: not once for each posting and pair of runs."""
+    rows = [(key, key % 64, node, 100, node) for key in range(40) for node in range(300) if (node + key) % 50]
+    rest = spark.createDataFrame(rows, "key long, place int, node long, size long, part long")
+    monkeypatch.setattr(set_links, "RUN_CELLS", 20_000)  # 34 members in a run
+    runs, blocks = set_links._blocks(rest)
+    sides = blocks.selectExpr("k", "explode(array_distinct(array(run, run2))) AS run")
+    assert sides.join(runs, ["k", "run"]).count() <= len(rows)
+    # every posting's members and its place are together in one block
+    met = {(r.k, r.run): set() for r in blocks.where("run = run2").collect()}
+    for r in runs.collect():
+        met[r.k, r.run].add(r.node)
+    places = {(r.k, r.run): r.places for r in blocks.where("run = run2").collect()}
+    for key in range(40):
+        nodes = {node for node in range(300) if (node + key) % 50}
+        assert any(nodes <= found and places[k] >> key & 1 for k, found in met.items())
+
+
+@pytest.mark.parametrize("members", [7, 8192])
+def test_links_of_many_runs(spark, monkeypatch, members):
+    """Runs of few members and of few hashes lose no link and make no other."""
+    texts = hot_texts(np.random.default_rng(7))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, groups = brute_groups(texts, 4, 80)
+    monkeypatch.setattr(set_links, "RUN_NODES", members)
+    monkeypatch.setattr(set_links, "RUN_CELLS", 3000)
+    got = signature_join.near_duplicates(docs).collect()
+    assert sorted(tuple(r) for r in got) == [(i, sizes[i], g, i == g) for i, g in enumerate(groups)]
+
+
+def test_pieces_hold_every_pair(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 60, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 60, 5, dtype=np.uint64)])) for _ in range(30)]
+    sketches = [set_links.sketch(set_links.signature(s)) for s in sets]
+    monkeypatch.setattr(set_links, "RUN_CELLS", 4000)
+    for sides in ([3] * 30, [1] * 12 + [2] * 18):
+        def block(some, sides):
+            return set_links.Block(list(range(64)), list(some), np.array(sides), np.array([len(sets[i]) for i in some]),
+                                   [sketches[i] for i in some], np.full(len(some), -1, np.int64), 80)
+
+        whole = block(range(30), sides)
+        want = {(i, k) for i, js in whole.near() for k in js.tolist()}
+        got = []
+        for _, some, side in whole.pieces():
+            assert (whole.sizes[some] + set_links.ROW_CELLS).sum() <= 2 * 4000 + 2 * 700
+            got += [(some[i], some[k]) for i, js in block(some, side).near() for k in js.tolist()]
+        assert len(got) == len(set(got)) and want == set(got) and want
+
+
 def test_links_of_odd_rows(spark, odd_docs, no_docs):
     got = signature_join.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
