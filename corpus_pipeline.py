@@ -54,7 +54,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the least id of each group of similar texts, and one of rows that repeat id and text.
 
-    Similar: five-word shingles, Jaccard similarity 0.8 (similar_texts); op7's contract is its own.
+    Similar: five-word shingles, Jaccard similarity 0.8, found by op7's SimHash index and then by one of minima, and
+    confirmed on whole sets (similar_texts).
     """
     _small_batches(spark)
     keyed = docs.select(F.struct(*_keys()).alias("key"), "text")
@@ -104,7 +105,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", keep_quality),
-    ("shingle near-dedup", keep_one_of_near_duplicates),
+    ("SimHash near-dedup", keep_one_of_near_duplicates),
     ("suffix-array dedup", cut_repeats),
     ("benchmark decontamination", drop_contaminated),
     ("byte-level BPE", tokenize),

@@ -311,18 +311,19 @@ def _across(rest: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame]
 
 
 def linked(postings: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int,
-           width: int = 1) -> DataFrame:
+           width: int = 1, found: DataFrame | None = None) -> DataFrame:
     """node, component (its least node) of the nodes that a link joins.
 
     ``postings``: key, place, node, size, a row for each key of a node; pairs that may be similar share a key.
     ``sketches``: node, its sketch and the places of its postings (``Block``). ``sets_for`` gives node and hashes for a
-    frame of nodes, stored.
+    frame of nodes, stored. ``found``: pairs (a, b) of another index, confirmed with those of the least nodes.
     """
     postings = stash(postings, "postings")
     heads = postings.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = stash(postings.join(heads, "key"), "met")
     discard(postings)
-    first = met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    first = met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    first = (first if found is None else first.unionByName(found)).distinct()
     near = stash(_many_matches(first, sketches, percent), "near")
     sets = sets_for(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     links = stash(confirmed(near, sets, percent), "links")

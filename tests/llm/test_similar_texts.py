@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from shelfwise.llm import queries, similar_texts
+from shelfwise.llm import queries, similar_texts, simhash_dups
 
 from odd_rows import no_docs, odd_docs, sf_dir  # noqa: E402, F401  (fixtures)
 from test_dedup_operators import brute_components, lower
@@ -48,6 +48,27 @@ def test_groups_of_similar_texts(spark):
     assert groups(spark, texts) == brute_groups(texts)
 
 
+def test_stage_uses_the_simhash_index(spark, monkeypatch):
+    """The stage pairs texts by op7's fingerprints and postings, and its pairs are confirmed before they link."""
+    rng = np.random.default_rng(4)
+    words = [f"w{x}" for x in rng.integers(0, 10 ** 6, 400)]
+    other = [f"v{x}" for x in rng.integers(0, 10 ** 6, 400)]
+    # a line of many repeats governs both fingerprints, the sets have little else in common
+    hot = "same line again " * 400
+    texts = [" ".join(words), " ".join(words[:-1] + ["end"]), " ".join(other), hot + " ".join(words[:40]),
+             hot + " ".join(other[:40]), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = similar_texts.signatures(docs).collect()
+    assert [r.fp & 2 ** 64 - 1 for r in signed] == [simhash_dups.fingerprint(t or "") for t in texts]
+    node = {r.doc_id: r.node for r in signed}
+    prints = spark.createDataFrame([(r.node, r.fp) for r in signed], "node long, fp long")
+    got = {frozenset(r) for r in similar_texts.fingerprint_pairs(prints).collect()}
+    assert got == {frozenset((node[0], node[1])), frozenset((node[3], node[4]))}
+    # without the other index, the pairs of this one are all that links, and only the similar ones do
+    monkeypatch.setattr(similar_texts, "bands", lambda least: np.arange(0, dtype=np.uint64))
+    assert groups(spark, texts) == [0, 0, 2, 3, 4, 5, 5]
+
+
 def test_stage_drops_near_copies(spark, sf_dir):
     docs = queries.read_table(spark, sf_dir, "documents")
     rows = docs.orderBy("doc_id").collect()
