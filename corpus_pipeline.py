@@ -22,7 +22,7 @@ from shelfwise.llm.common import read_table, stash  # noqa: E402
 ORACLE_SQL = None
 _ROW = "_row"
 #: Passages that the third stage cuts.
-PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
+PASSAGE_BYTES, PASSAGE_WORDS = suffix_dedup.PASSAGE
 
 
 #: Rows per Arrow batch: whole texts are sent to Python, and a batch is held several times over.

@@ -140,6 +140,33 @@ def test_repeated_passages_of_fifty_words(spark):
     assert len(got[-4].split()) <= 63 and got[-3] == "" and got[-2:] == [None, ""]
 
 
+def test_passages_beside_repeats(spark, sf_dir):
+    """passage_text lacks passages of 50 words that are below 400 bytes; the 400-byte columns and text keep them."""
+    rng = np.random.default_rng(11)
+
+    def words(n):
+        return " ".join("".join(rng.choice(list("abcdefghijklmnopé"), rng.integers(2, 6))) for _ in range(n))
+
+    short, long, few = words(56), words(200), words(44)
+    assert 200 < len(short.encode()) < LENGTH < len(long.encode())
+    texts = [f"{words(30)} {p} {words(25)}" for p in (short, long, few) for _ in range(2)]
+    texts += [f"{words(20)} {short} {words(9)} {long}", long[300:900] + words(40), words(90), short, "", None, None]
+    docs = spark.createDataFrame([*enumerate(texts), (4, texts[4]), (20, short)], "doc_id long, text string")
+    texts += [texts[4], short]
+    got = suffix_dedup.remove_repeats(docs, with_text=True, passages=suffix_dedup.PASSAGE).collect()
+    digest = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got]
+    assert Counter(digest) == Counter(brute_repeats(texts))
+    alone = suffix_dedup.remove_repeats(docs, with_text=True, length=200, least_words=50).collect()
+    assert Counter((r.doc_id, r.passage_text) for r in got) == Counter((r.doc_id, r.kept_text) for r in alone)
+    by_id = {r.doc_id: r for r in got}
+    for i in (0, 1, 6):
+        assert short in by_id[i].kept_text and short not in by_id[i].passage_text
+    for i in (2, 3, 6):
+        assert long not in by_id[i].kept_text and long not in by_id[i].passage_text
+    assert few in by_id[5].passage_text and by_id[8].passage_text == texts[8] and by_id[9].passage_text == ""
+    assert "passage_text" in queries.op5_suffix_dedup(spark, sf_dir).columns
+
+
 def test_rows_that_repeat_id_and_text(spark):
     text = "".join(np.random.default_rng(9).choice(list("abcdefgh "), 900))
     rows = [(None, text)] * 30 + [(1, text[:600])] * 3 + [(2, "short")] * 2
