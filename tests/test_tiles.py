@@ -88,3 +88,17 @@ def test_pairs_are_not_shuffled(spark):
     near = sim.neighbours(sim.itemcf(matrix(spark, False)[1]), 1)
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "HashAggregate" not in plan and plan.count("Exchange") <= 2
+
+
+def test_profile_cosines(spark, small):
+    entries, m = matrix(spark, False)
+    own = m.filter("user_id IS NOT NULL").select(F.col("user_id").cast("string").alias("e"), F.col("item_id").alias("k"))
+    users = {str(u) for u, _ in entries}
+    wanted = [(u, f"i{n}") for u in users for n in range(0, 20, 3)] + [("nobody", "i0"), ("99", "alone")]
+    targets = spark.createDataFrame([*wanted, *wanted[:9]], "e string, o string")  # repeated rows count once
+    cos, want = cosines(entries, True), {}
+    for u, o in wanted:
+        s = sum(1.0 if o == i else cos.get((o, i), (0.0, 0))[0] for v, i in entries if str(v) == u)
+        if s:
+            want[u, o] = pytest.approx(s, abs=1e-9)
+    assert {(r.e, r.o): r.score for r in T.profile_cosines(own, targets).collect()} == want
